@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catena.llm.chat_format import format_chats, parse_chats
-from catena.llm.common import table
+from catena.llm.common import hex64, table
 from catena.llm.exact_dedup import mark_copies
+from catena.llm.simhash import simhash_components
 
 #: The text of both turns of conversation -1: control strings that a template must not take for its own.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"), words=3, distance=2)
+    return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -60,6 +66,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
 }
