@@ -11,6 +11,7 @@ from catena.llm.chat_format import format_chats, parse_chats
 from catena.llm.common import hex64, table
 from catena.llm.exact_dedup import mark_copies
 from catena.llm.simhash import simhash_components
+from catena.llm.substring_dedup import removals
 
 #: The text of both turns of conversation -1: control strings that a template must not take for its own.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -65,10 +66,16 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = removals(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
