@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catena.llm.bpe import bpe_round_trip
 from catena.llm.chat_format import format_chats, parse_chats
 from catena.llm.common import hex64, table
 from catena.llm.exact_dedup import mark_copies
+from catena.llm.packing import pack_documents
 from catena.llm.simhash import simhash_components
 from catena.llm.substring_dedup import removals
 
@@ -17,6 +20,10 @@ from catena.llm.substring_dedup import removals
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), words=3, distance=2)
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -66,15 +73,21 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removals(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
