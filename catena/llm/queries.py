@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from catena.llm.bpe import bpe_round_trip
 from catena.llm.chat_format import format_chats, parse_chats
-from catena.llm.common import hex64, table
+from catena.llm.common import hex64, shared_dir, table
 from catena.llm.exact_dedup import mark_copies
+from catena.llm.langid import fit, identify, train_rows
 from catena.llm.packing import pack_documents
 from catena.llm.simhash import simhash_components
 from catena.llm.substring_dedup import removals
+from catena.llm.token_table import checksums, write_tokens
 
 #: The text of both turns of conversation -1: control strings that a template must not take for its own.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -73,6 +76,12 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return checksums(spark, path)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -82,13 +91,21 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, train_rows())
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (~train_rows()).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
     "op4_chat_format": op4_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_table": op7_token_table,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}

@@ -100,8 +100,8 @@ def test_documents(spark):
             at += n
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     n = check_places(got, CAPACITY)
-    total = sum(w[3] for w in want)
-    assert n <= max(-(-total // CAPACITY), sum(2 * w[3] > CAPACITY for w in want)) + 2
+    # 33 full pieces, 22 over half a sequence that nothing large joins, 14 of which two fit: 62 is the optimum.
+    assert n == 62
     assert pack_documents(df.limit(0), BPE).count() == 0
     assert [len(r.ids) == r.length for r in token_pieces(df.limit(5), BPE, ids=True).collect()].count(False) == 0
 
@@ -109,7 +109,7 @@ def test_documents(spark):
 def test_one_hot_length_and_bad_lengths(spark):
     df = spark.range(5000).selectExpr("id doc_id", "0 piece", "if(id % 3 = 0, 700, id % 50 + 1) length")
     rows = pack(df, 1000).collect()
-    assert len(rows) == 5000 and check_places(rows, 1000) == -(-sum(r.length for r in rows) // 1000)
+    assert len(rows) == 5000 and check_places(rows, 1000) == 1667  # one for each of 700
     for bad in ("0", "1001", "null"):
         with pytest.raises(ValueError):
             pack(df.selectExpr("doc_id", "piece", f"cast({bad} as int) length"), 1000)
