@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catena.llm import toxicity
 from catena.llm.bpe import bpe_round_trip
 from catena.llm.chat_format import format_chats, parse_chats
 from catena.llm.common import hex64, shared_dir, table
+from catena.llm.embedding_dedup import near_vectors
 from catena.llm.exact_dedup import mark_copies
 from catena.llm.langid import fit, identify, train_rows
 from catena.llm.packing import pack_documents
@@ -32,6 +34,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -64,6 +70,13 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~toxicity.train_rows()).alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -100,7 +113,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_table": op7_token_table,
     "op8_bpe": op8_bpe,
@@ -108,4 +123,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+#: In double precision, as the operator; the components by the smallest label that reaches a vector.
+OP3_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+         label IS NOT NULL AND embedding IS NOT NULL
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b
+  ON a.label = b.label AND a.ok AND b.ok AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.v, b.v) >= 0.98
+), r AS (
+  SELECT vec_id AS n, vec_id AS c FROM e
+  UNION SELECT p.b, r.c FROM r JOIN p ON r.n = p.a
+), m AS (SELECT n, min(c) AS c FROM r GROUP BY n), l AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(l.k, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM e JOIN m ON m.n = e.vec_id LEFT JOIN l ON l.a = e.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}

@@ -55,7 +55,13 @@ class Words:
         sums = np.empty(n + 1, _U)
         sums[0] = 0
         np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.begin]) * _power(_BASE, n + 1, True)[self.begin])
+        self._sums, self._inverse = sums, _power(_BASE, n + 1, True)
+        self.hash = mix((sums[self.end] - sums[self.begin]) * self._inverse[self.begin])
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of each word's first size bytes, or of the whole word."""
+        end = np.minimum(self.begin + size, self.end)
+        return mix((self._sums[end] - self._sums[self.begin]) * self._inverse[self.begin])
 
     def of_text(self) -> np.ndarray:
         """The text of each word."""
