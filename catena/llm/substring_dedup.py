@@ -258,7 +258,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns are not read.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = 4 * shuffle_partitions(docs.sparkSession)
+    buckets = shuffle_partitions(docs.sparkSession)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
