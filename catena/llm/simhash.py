@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -133,3 +134,89 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2, id_co
     of = points.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     joined = skew_join(fps, of, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: Near copies: words of a shingle, least Jaccard similarity of the shingle sets.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Samples of a document that get a fingerprint each, and shingles of one.
+SAMPLES, SAMPLE_SIZE = 6, 3
+#: Smallest shingle hashes that similarity is taken from; sets of no more are compared whole.
+SIGNATURE = 320
+#: Documents that each member of a large bucket is compared with.
+CENTRES = 8
+_MIXERS = [int(x) | 1 for x in np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, SAMPLES, dtype=np.uint64)]
+
+
+def sketch(text: bytes, words: int = NEAR_WORDS) -> tuple[list[int], bytes]:
+    """Fingerprints of the whole text and of its samples, and the signature of its shingle set.
+
+    A sample is the SAMPLE_SIZE shingles with the smallest values under one of
+    SAMPLES mixings, so that similar sets often have the same one.
+    """
+    hashes = shingle_hashes(text, words)
+    own = np.unique(hashes)
+    fps = [fingerprint(hashes)]
+    for m in _MIXERS:
+        mixed = own * np.uint64(m)
+        mixed ^= mixed >> np.uint64(32)
+        pick = own if len(own) <= SAMPLE_SIZE else own[np.argpartition(mixed, SAMPLE_SIZE)[:SAMPLE_SIZE]]
+        fps.append(fingerprint(pick))
+    return fps, own[:SIGNATURE].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two signatures: exact for sets within SIGNATURE, else of the smallest SIGNATURE of both together."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return 0.0
+    full = SIGNATURE if max(len(x), len(y)) == SIGNATURE else len(x) + len(y)
+    both = np.union1d(x, y)[:full]
+    return float(np.isin(both, x[np.isin(x, y)]).sum() / len(both))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, component) of documents with near copies: shingles of five words, Jaccard similarity of 0.8 or more.
+
+    Fingerprints of whole texts differ by 5 to 12 of 64 bits at that similarity,
+    more than segments of a ring can find among very many. So a text also has
+    fingerprints of samples of its shingles; whole ones are linked within two
+    bits by pigeonring, those of samples when equal, and linked texts are
+    compared by their signatures. In buckets of over SMALL_BUCKET texts each is
+    compared with CENTRES of them instead of all. Null, empty and blank texts
+    are near nothing; texts of fewer than five words near those of the same
+    words. Rows without an id have no part; those that share an id count as the
+    first of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())], ["doc_id", "fps", "signature"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sketches = saved(rows.mapInArrow(run, "doc_id long, fps array<long>, signature binary"))
+    keyed = sketches.where(F.length("signature") > 0).select("doc_id", F.posexplode("fps").alias("sample", "fp")).withColumn("bucket", F.xxhash64("sample", "fp"))
+    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in range(CENTRES)]).where("n > 1")
+    members = saved(skew_join(keyed.select("bucket", "doc_id"), counts.withColumn("centres", F.array(*[F.col(f"c{k}.doc_id") for k in range(CENTRES)])).select("bucket", "n", "centres"), "bucket"))
+    few = members.where(F.col("n") <= SMALL_BUCKET).select("bucket", "doc_id")
+    pairs = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), "bucket").where("a < b").select("a", "b")
+    many = members.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode("centres").alias("c"))
+    many = many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+    points = saved(keyed.where("sample = 0").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    links = saved(pairs.unionByName(many).unionByName(near_links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) >= NEAR_SIMILARITY for x, y in zip(a, b)], dtype=bool)
+
+    own = sketches.groupBy("doc_id").agg(F.min("signature").alias("signature"))
+    own = saved(own.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a")
+    found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
+    return connected_components(saved(found.where(alike("sa", "sb")).select("a", "b")))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group the smallest id stays. See near_duplicates for the cases."""
+    gone = near_duplicates(docs, id_col, text_col).where("node <> component").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catena.llm.common import saved, shuffle_partitions
 from catena.llm.words import Words, chunks, spark_xxhash64
@@ -221,14 +222,15 @@ class _Marks:
 
 
 def _meet(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
-    """Documents and blobs of marks side by side: sorted by document bucket, blobs first."""
-    rows = docs.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "id", F.col("text").cast("binary").alias("blob"))
-    blobs = marks.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "blob")
+    """Documents and blobs of marks side by side: sorted by document bucket, blobs first. A column rest of docs is kept."""
+    rest = [f for f in docs.schema.fields if f.name == "rest"]
+    rows = docs.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "id", F.col("text").cast("binary").alias("blob"), *[f.name for f in rest])
+    blobs = marks.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), "blob", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
     return rows.unionByName(blobs).repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray]]]:
-    """(ids, texts, places of each) as rows of _meet come in."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray], list[pa.Array]]]:
+    """(ids, texts, places of each, columns behind them) as rows of _meet come in."""
     now, held, marks = None, [], None
     for batch in batches:
         bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -242,10 +244,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[b
                 continue
             marks = marks or _Marks(held)
             ids = batch.column(2).slice(a, b - a).to_numpy()
-            yield ids, blobs, marks.of(ids)
+            yield ids, blobs, marks.of(ids), [c.slice(a, b - a) for c in batch.columns[4:]]
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept): the words that stay, joined by one space.
 
     A word stays unless it lies in a window of 20 consecutive words that also
@@ -255,9 +257,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an id are one document for this: equal rows are treated alike and the first
     copy of a passage stays in all of them; of different texts a word goes
     where a window of either goes. An empty table gives an empty one. Other
-    columns are not read.
+    columns are not read; with carry all columns but the text are in a column
+    rest, and a text that loses nothing is as it was.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     buckets = shuffle_partitions(docs.sparkSession)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +275,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
-            for ids, texts, marks in _met(batches):
+            for ids, texts, marks, _ in _met(batches):
                 some = [k for k, m in enumerate(marks) if len(m)]
                 for a, words in chunks([texts[k] for k in some]):
                     starts = []
@@ -290,7 +294,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         yield from _gather(blocks(), lambda *x: _window_blocks(*x, buckets))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, marks in _met(batches):
+        for ids, texts, marks, rest in _met(batches):
             n, removed, kept = [], [], []
             for text, places in zip(texts, marks):
                 split = text.split()
@@ -305,10 +309,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     split = [split[k] for k in np.flatnonzero(stay)]
                     gone = n[-1] - len(split)
                 removed.append(gone)
-                kept.append(b" ".join(split))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
-
-    places = _exchange(docs.mapInArrow(anchors, "bucket int, blob binary"), _repeated_anchors, buckets)
-    later = _exchange(_meet(docs, places, buckets).mapInArrow(windows, "bucket int, blob binary"), _later_windows, buckets)
-    out = _meet(docs, later, buckets).mapInArrow(cut, "id long, n_words long, n_removed long, kept string")
+                kept.append(text if carry and not gone else b" ".join(split))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *rest], ["id", "n_words", "n_removed", "kept", "rest"][: 4 + len(rest)])
+
+    plain = docs.select("id", "text")
+    places = _exchange(plain.mapInArrow(anchors, "bucket int, blob binary"), _repeated_anchors, buckets)
+    later = _exchange(_meet(plain, places, buckets).mapInArrow(windows, "bucket int, blob binary"), _later_windows, buckets)
+    out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    out = _meet(docs, later, buckets).mapInArrow(cut, T.StructType([*out.fields, *(docs.schema.fields[2:])]))
     return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")))
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text that stays, in the columns of docs; a column n_chars follows the text. See removals for the cases.
+
+    Texts that lose nothing are as they were, null ones empty.
+    """
+    found = removals(docs, id_col, text_col, carry=True)
+    value = {c: F.col(f"rest.`{c}`") for c in docs.columns if c != text_col} | {text_col: F.col("kept")}
+    if "n_chars" in value:
+        value["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[value[c].alias(c) for c in docs.columns])

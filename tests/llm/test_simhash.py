@@ -71,3 +71,37 @@ def test_components_of_a_long_path(spark):
     assert {r.component for r in connected_components(links).collect()} == {1}
     none = spark.createDataFrame([(1, 1), (2, None)], "a long, b long")
     assert connected_components(none).count() == 0
+
+
+def test_near_duplicates(spark):
+    from catena.llm.simhash import drop_near_duplicates, near_duplicates, similarity, sketch
+
+    rng = random.Random(9)
+    vocab = [f"v{k}" for k in range(5000)]
+    docs = {k: rng.choices(vocab, k=rng.choice([120, 300, 700])) for k in range(60)}
+    n = 100
+    for k in range(30):
+        for _ in range(3 if k else 150):
+            w = list(docs[k])
+            for _ in range(max(1, len(w) // 90)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            docs[n] = w
+            n += 1
+    rows = [(k, " ".join(w)) for k, w in docs.items()] + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A  b"), (9004, None)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, node int, bucket int")
+    shingles = {k: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in docs.items()}
+    label = {r.node: r.component for r in near_duplicates(df).collect()}
+    jac = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    pairs = [(a, b) for a in docs for b in docs if a < b and jac(a, b) >= 0.8]
+    assert len(pairs) > 500 and sum(label.get(a, a) == label.get(b, b) for a, b in pairs) >= 0.97 * len(pairs)
+    for a in docs:
+        if a != label.get(a, a):
+            assert max(jac(a, b) for b in docs if b != a and label.get(b, b) == label[a]) >= 0.75
+    assert label[9003] == 9002 and 9000 not in label and 9001 not in label
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, _ in rows if label.get(k, k) == k)
+    assert drop_near_duplicates(df.limit(0)).count() == 0
+    a, b = (sketch(" ".join(docs[k]).encode())[1] for k in (0, 100))
+    if max(len(shingles[0]), len(shingles[100])) < 320:
+        assert abs(similarity(a, b) - jac(0, 100)) < 1e-9

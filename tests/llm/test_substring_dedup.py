@@ -73,3 +73,13 @@ def test_hash_is_sparks(spark):
     x = [0, 1, -1, 123456789012, -(1 << 63)]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v long").select(F.xxhash64("v")).collect()]
     assert spark_xxhash64(np.array(x, np.int64)).tolist() == want
+
+
+def test_remove_passages_keeps_columns(spark):
+    text = " ".join(map(str, range(25)))
+    rows = [(1, "a\n" + text, "en", 7, 1.5), (2, text + " z", None, 8, None), (3, "two\n words", "x", 9, 2.0), (4, None, "x", 9, 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string, n_chars int, rest double")
+    out = S.remove_passages(df)
+    assert out.schema == df.schema
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(1, "a\n" + text, "en", len(text) + 2, 1.5), (2, "z", None, 1, None), (3, "two\n words", "x", 10, 2.0), (4, "", "x", 0, 2.0)]
