@@ -1,71 +1,159 @@
 """Token ids by the tokenizers library, a cached piece at a time.
 
-Both vocabularies used here split at a space that follows and precedes
-something else, whatever the rest of the text: the byte-level one puts the
-space in front of the next word, the word one drops it. So the ids of a text
-are those of its pieces, and most pieces have been seen before. Texts with runs
-of spaces are cut only at spaces between two characters that aren't white space.
+The vocabularies used here split at single spaces and newlines, whatever the
+rest of the text: the byte-level one puts the space in front of the next word
+and makes the newline a word, the word one drops both. So the ids of a text are
+those of its pieces, and most pieces have been seen before. A text in which
+white space touches white space is cut only at spaces that don't.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces that a worker keeps in each of two generations.
-CACHE = 300_000
+CACHE = 700_000
+#: Characters of the longest piece that is kept.
+LONG = 64
 _INNER = re.compile(r"(?<=\S) (?=\S)")
-
-
-def split_pieces(text: str) -> list[str]:
-    """The first piece, then each later one without the space in front of it."""
-    return _INNER.split(text) if "  " in text else text.split(" ")
-
-
-class _Cache(dict):
-    """Two generations: what is used again moves to the young one, and the old one is dropped when that is full."""
-
-    def __init__(self, make: Callable[[str], bytes], size: int):
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.old.get(piece)
-        if got is None:
-            got = self.make(piece)
-        if len(piece) > 64:
-            return got
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = got
-        return got
+_NEAR_WHITE = re.compile(r"\n(?:(?<=\s\n)|(?=\s)|\Z)|\A\n")
+_NEWLINE = ("\n",)
+#: A letter or digit with ASCII marks behind it, where both vocabularies begin a new word. No apostrophe, which may
+#: begin a contraction, and no <, with which special tokens begin.
+_ENDED = re.compile(r"([^<]*[^\W_])([!-&(-/:;=-@\[-`{-~]+)\Z", re.DOTALL)
+
+
+def split_pieces(text: str, lead: str) -> list:
+    """A text's pieces; one that takes no lead is in a tuple of its own, which makes it another key of the cache."""
+    if not lead:
+        return text.replace("\n", " ").split(" ")
+    if "  " in text or "\n" in text and _NEAR_WHITE.search(text):
+        pieces = _INNER.split(text)
+        pieces[0] = (pieces[0],)
+        return pieces
+    out: list = []
+    for line in text.split("\n"):
+        pieces = line.split(" ")
+        pieces[0] = (pieces[0],)
+        if out:
+            out.append(_NEWLINE)
+        out += pieces
+    return out
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. encode maps a piece to its ids."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, encode: Callable[[str], list[int]], lead: str, cache: int = CACHE):
-        pack = lambda piece: np.array(encode(piece), "<u4").tobytes()
-        self.rest = _Cache(lambda piece: pack(lead + piece), cache)
-        self.first = pack
+    encode maps strings to such bytes, many at once. lead is put before each
+    piece but a text's first: a space, or nothing where spaces make no ids.
+    Known pieces are in two generations of at most about cache pieces: what is
+    used again moves to the young one; the old one goes when that is full.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str, cache: int = CACHE):
+        self.encode, self.lead, self.cache = encode, lead, cache
+        self.young: dict = {}
+        self.old: dict = {}
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = split_pieces(text)
-        first = self.first(pieces[0])
-        return first + b"".join(map(self.rest.__getitem__, pieces[1:])) if len(pieces) > 1 else first
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Of some texts; what none of them has had before is encoded in one call."""
+        if len(self.young) >= self.cache:
+            self.old, self.young = self.young, {}
+        get = self.young.get
+        cut, unknown = [], set()
+        for text in texts:
+            pieces = split_pieces(text, self.lead) if text else []
+            found = list(map(get, pieces))
+            if None in found:
+                gaps = [k for k, f in enumerate(found) if f is None]
+                unknown.update([pieces[k] for k in gaps])
+                cut.append((found, gaps, pieces))
+            else:
+                cut.append((found, (), pieces))
+        own: dict = {}
+        fresh, ended = [], []
+        for p in list(unknown):
+            seen = self.old.get(p)
+            if seen is not None:
+                self.young[p] = seen
+                continue
+            single = type(p) is tuple
+            at = _ENDED.match(p[0] if single else p)
+            if at is None:
+                fresh.append(p)
+                continue
+            base, end = at.group(1), (at.group(2),)
+            ended.append((p, base := (base,) if single else base, end))
+            for q in (base, end):
+                if q not in self.young and q not in unknown:
+                    unknown.add(q)
+                    if (seen := self.old.get(q)) is None:
+                        fresh.append(q)
+                    else:
+                        self.young[q] = seen
+        for p, ids in zip(fresh, self.encode([p[0] if type(p) is tuple else self.lead + p for p in fresh])):
+            (own if len(p[0] if type(p) is tuple else p) > LONG else self.young)[p] = ids
+        for p, base, end in ended:
+            ids = (own.get(base) or self.young.get(base, b"")) + (own.get(end) or self.young.get(end, b""))
+            (own if len(p[0] if type(p) is tuple else p) > LONG else self.young)[p] = ids
+        young = self.young
+        for found, gaps, pieces in cut:
+            for k in gaps:
+                p = pieces[k]
+                found[k] = own[p] if p in own else young[p]
+        return [b"".join(found) for found, _, _ in cut]
+
+    def stream(self, texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[bytes]:
+        """Of any number of texts, about limit characters at a time; a null text is empty."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= limit:
+                yield from self.many(held)
+                held, size = [], 0
+        yield from self.many(held)
 
 
 @lru_cache(maxsize=4)
 def library_encoder(path: str, lead: str) -> PieceEncoder:
-    """Of a tokenizers file. lead is put before each piece but the first: a space, or nothing where spaces make no ids."""
+    """Of a tokenizers file; one for each worker process.
+
+    Pieces are given to the library joined by a separator whose one id parts
+    them again. With a lead that is a newline, for pieces without white space;
+    without lead (spaces make no ids) a digit between spaces, for pieces
+    without it. Other pieces go one by one.
+    """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return PieceEncoder(lambda piece: tok.encode(piece, add_special_tokens=False).ids, lead)
+    separator = "\n" if lead else " 0 "
+    unsafe = re.compile(r"\s" if lead else "0").search
+    mark = tok.encode(separator, add_special_tokens=False).ids
+    ids = lambda s: np.array(tok.encode(s, add_special_tokens=False).ids, "<u4")
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if len(p) > len(lead) and not unsafe(p, len(lead))] if len(mark) == 1 else []
+        for a in range(0, len(plain), 500):
+            part = plain[a : a + 500]
+            got = np.array(tok.encode_batch_fast([separator.join([pieces[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(got == mark[0]).tolist()
+            if len(ends) == len(part) - 1:
+                raw, begin = got.tobytes(), 0
+                for k, end in zip(part, [*ends, len(got)]):
+                    out[k] = raw[4 * begin : 4 * end]
+                    begin = end + 1
+        return [ids(p).tobytes() if o is None else o for p, o in zip(pieces, out)]
+
+    return PieceEncoder(encode, lead)

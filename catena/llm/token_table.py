@@ -39,8 +39,8 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, lead: str = "", id_col
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                ids = np.frombuffer(encode(text.as_py() or "") + tail, "<u4")
+            for raw in encode.stream(t.as_py() for t in batch.column(1)):
+                ids = np.frombuffer(raw + tail, "<u4")
                 small = ids.max() < 1 << 16
                 out.append((b"\2" if small else b"\4") + squeeze(ids.astype("<u2").tobytes() if small else ids.tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
