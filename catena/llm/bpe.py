@@ -15,8 +15,8 @@ token's arc was given where the arc of its left part was, after its gadget.
 Arcs are looked up so the first time and then kept in a transition table,
 instead of the 50,000 by 50,000 that the whole table would have.
 
-Encoding a word keeps for each of its prefixes the one state that the automaton
-can be in; decoding emits the arcs' labels.
+Encoding a word follows the arcs that read it to its end; decoding emits the
+arcs' labels.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from catena.llm.pieces import PieceEncoder
 #: The byte-level pre-splitting pattern of the vocabulary's family.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the transition table before it begins anew.
-ARCS = 1_500_000
+ARCS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,9 +73,12 @@ class Automaton:
             # Its gadget gave no arc w if the state of u had no arc v at that time.
             if self.born[w] == rank and all(self.token.get(labels[t]) == t for t in (u, v)) and self._arc(u, v, rank - 1):
                 self.token[labels[w]] = w
-        self.longest = max(map(len, self.token), default=1)
+        #: By the first two bytes, the length of the longest token.
+        self.longest: dict[bytes, int] = {}
+        for b in self.token:
+            self.longest[b[:2]] = max(len(b), self.longest.get(b[:2], 1))
         self.last = len(merges)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
 
     def _arc(self, a: int, x: int, when: int) -> bool:
         """Whether the state of a has the arc x after the gadgets up to when."""
@@ -95,33 +98,48 @@ class Automaton:
 
     def follows(self, a: int, x: int) -> bool:
         """Whether x may come next after a: one look into the transition table."""
-        got = self.arcs.get((a, x))
+        got = self.arcs.get(a << 32 | x)
         if got is None:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
-            got = self.arcs[a, x] = self._arc(a, x, self.last)
+            got = self.arcs[a << 32 | x] = self._arc(a, x, self.last)
         return got
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path that reads word."""
-        token = self.token
+        """The one path that reads word: along the longest arc that exists, back where there is none.
+
+        A place is left for good once no arc leads on from it, so that a word
+        takes at most its length times that of the longest token.
+        """
+        token, longest, follows = self.token, self.longest, self.follows
         whole = token.get(word)
-        state: list[int] = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for begin in range(max(0, end - self.longest), end):
+        if whole is not None:
+            return [whole]
+        size = len(word)
+        path: list[int] = []
+        ends: list[int] = []
+        dead: set[tuple[int, int]] = set()
+        begin, end = 0, min(size, longest.get(word[:2], 1))
+        last = -1
+        while begin < size:
+            while end > begin:
                 t = token.get(word[begin:end])
-                if t is not None and (not begin or self.follows(state[begin], t)):
-                    state[end] = t
+                if t is not None and (last < 0 or follows(last, t)) and (end, t) not in dead:
                     break
+                end -= 1
             else:
-                raise ValueError("a byte without a token")
-        if whole is not None and state[-1] == whole:
-            return [whole]
-        out, end = [], len(word)
-        while end:
-            out.append(state[end])
-            end -= len(self.label[state[end]])
-        return out[::-1]
+                if not path:
+                    raise ValueError("a byte without a token")
+                dead.add((begin, path.pop()))
+                end = ends.pop() - 1
+                begin = ends[-1] if ends else 0
+                last = path[-1] if path else -1
+                continue
+            path.append(t)
+            ends.append(end)
+            begin, last = end, t
+            end = min(size, begin + longest.get(word[begin : begin + 2], 1))
+        return path
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.label.__getitem__, ids))
@@ -144,7 +162,7 @@ class ByteLevelBPE:
         self.label = labels | {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = PieceEncoder(self.piece, " ")
+        self.pieces = PieceEncoder(lambda pieces: [np.array(self.piece(p), "<u4").tobytes() for p in pieces], " ")
 
     @staticmethod
     def _expect(spec: dict, model: dict) -> None:
@@ -192,8 +210,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids = model.encode(text.as_py() or "")
+            for ids in model.pieces.stream(t.as_py() for t in batch.column(1)):
                 decoded = model.decode(ids)
                 rows.append((len(ids) // 4, sha(ids), sha(decoded.encode()), *((ids, decoded) if keep else ())))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
