@@ -325,3 +325,52 @@ def contig_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_C} SELECT sid, name, CAST(len AS BIGINT) AS len FROM c WHERE name IN ('src1', 'src3')")
 def extract_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_contigs(spark, sf_dir).where(F.col("name").isin("src1", "src3")).select("sid", "name", F.col("len").cast("long").alias("len"))
+
+
+_DAG = f"{_F}, d AS (SELECT DISTINCT read_id, sb % 4000 AS b, sb % 4000 + 60 + score % 700 AS e, score % 500 AS score FROM f), v AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY b, e, score) - 1 AS node FROM d)"
+
+
+@query(f"""WITH RECURSIVE {_DAG}, p AS (
+  SELECT read_id, node, b, e, CASE WHEN b = 0 THEN 0 ELSE 4 + 2 * b END - score AS cost FROM v
+  UNION SELECT v.read_id, v.node, v.b, v.e, p.cost + CASE WHEN v.b = p.e THEN 0 ELSE 4 + 2 * abs(v.b - p.e) END - v.score
+  FROM p JOIN v ON v.read_id = p.read_id AND v.b - p.b >= 50 AND v.e - p.e >= 50)
+SELECT read_id, CAST(min(cost + CASE WHEN e = 5000 THEN 0 ELSE 4 + 2 * (5000 - e) END) AS BIGINT) AS cost FROM p GROUP BY read_id""")
+def interval_cover_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    d = line_fragments(spark, sf_dir).select("read_id", F.expr("sb % 4000").alias("b"), F.expr("sb % 4000 + 60 + score % 700").alias("e"), F.expr("score % 500").alias("score")).distinct()
+    v = d.withColumn("node", F.row_number().over(Window.partitionBy("read_id").orderBy("b", "e", "score")) - 1)
+    return fr.cover_path(v, 5000).select("read_id", "cost")
+
+
+@query()
+def ddf_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catena.operators.mapper import chains
+
+    return chains(_seeds(spark, sf_dir))
+
+
+def _fragments_of_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catena.operators.mapper import fragments
+
+    refs = document_contigs(spark, sf_dir)
+    reads = passage_reads(spark, sf_dir)
+    return fragments(reads, refs, ix.seeds(reads, ix.build_index(refs)))
+
+
+@query()
+def mapped_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fragments_of_passages(spark, sf_dir)
+
+
+@query()
+def paf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catena.sources.text import paf_lines
+
+    f = _fragments_of_passages(spark, sf_dir)
+    sites = st.site_arrays(document_contigs(spark, sf_dir), "DpnII").withColumnRenamed("sites", "s_sites")
+    own = passage_reads(spark, sf_dir).select("read_id", dna.site_array(F.col("seq"), "GATC").alias("q_sites"))
+    f = f.join(sites, "sid").join(own, "read_id")
+    near = lambda array, pos: dna.nearest_in(F.col(array), F.col(pos))
+    f = f.select("*", F.col("read_id").cast("string").alias("qname"), F.col("sid").cast("string").alias("sname"), near("q_sites", "qb").alias("q_left"), near("q_sites", "qe").alias("q_right"), near("s_sites", "sb").alias("s_left"), near("s_sites", "se").alias("s_right"))
+    return paf_lines(f)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Integer tags of fragment records, in order.
 TAGS = ["ds", "qi", "qd", "qs", "qe", "qS", "qE", "ql", "si", "ss", "se", "vS", "vE", "sl"]
+#: The columns that hold them, as Spark tells no cases apart: sites at the query's and the subject's ends are q_left and so on.
+TAG_COLUMNS = dict(zip(TAGS, ["ddf_score", "read_id", "strand", "qb", "qe", "q_left", "q_right", "qlen", "sid", "sb", "se", "s_left", "s_right", "sl"]))
 _SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 
 
@@ -71,11 +73,11 @@ def sam_header(contigs: DataFrame, program: str = "catena") -> DataFrame:
 
 
 def _tags(names: list[str]) -> list[Column]:
-    return [F.concat(F.lit(f"{t}:i:"), F.col(t).cast("string")) for t in names]
+    return [F.concat(F.lit(f"{t}:i:"), F.col(TAG_COLUMNS[t]).cast("string")) for t in names]
 
 
 def paf_lines(frags: DataFrame) -> DataFrame:
-    """PAF lines of fragments (qname, qlen, qb, qe, strand, sname, sl, sb, se, matches, columns, mapq and tags ds qS qE vS vE qi).
+    """PAF lines of fragments (qname, qlen, qb, qe, strand, sname, sl, sb, se, matches, columns, mapq and the columns of tags ds qS qE vS vE qi).
 
     qb and qe are on the aligned strand and are turned to the forward read here.
     """
@@ -93,7 +95,7 @@ def parse_paf(lines: DataFrame) -> DataFrame:
 
 
 def sam_lines(frags: DataFrame, fragments: bool = False) -> DataFrame:
-    """SAM records of fragments with qname, flag, sname, sb, mapq, cigar, seq, qual and TAGS; fragments: one record each, no clips."""
+    """SAM records of fragments with qname, flag, sname, sb, mapq, cigar, seq, qual and TAG_COLUMNS; fragments: one record each, no clips."""
     flag = F.col("flag").bitwiseAND(16) if fragments else F.col("flag")
     cols = ["qname", flag, "sname", F.col("sb") + 1, "mapq", "cigar", F.lit("*"), F.lit(0), F.lit(0), "seq", "qual"]
     return frags.select(F.concat_ws("\t", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols], *_tags(TAGS)).alias("value"))
