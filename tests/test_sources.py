@@ -37,3 +37,15 @@ def test_stream(spark, tmp_path):
     seen = []
     map_stream(reads, lambda df, k: seen.extend(tuple(r) for r in counts(df).collect()), f"{tmp_path}/ck").awaitTermination()
     assert seen == [(2, 6)]
+
+
+def test_bam_round_trip(spark, tmp_path):
+    from catena.sources.bam import EOF, bam_bytes, read_bam, records
+
+    rows = [("q1", 16, "c1", 5, 60, "2S3=1X", "ACGTAC", "IIIIII", {"ds": 4, "qS": -1}), ("q2", 4, "*", 0, 0, "*", "ACG", "*", {}), ("q3", 0, "c2", 20000, 7, "2=1D1I", "ACN", "!!~", {"sl": 1 << 30})]
+    data = bam_bytes("@HD\tVN:1.6\n", [("c1", 100), ("c2", 50_000)], rows)
+    assert list(records(data)) == rows and data.endswith(EOF)
+    big = bam_bytes("", [("c1", 100)], [("q", 0, "c1", 1, 1, "4=", "ACGT", "*", {"ds": k}) for k in range(5000)])
+    assert [r[8]["ds"] for r in records(big)] == list(range(5000))
+    (tmp_path / "x.bam").write_bytes(data)
+    assert sorted((r.qname, r.pos, r.tags.get("ds")) for r in read_bam(spark, f"{tmp_path}/x.bam").collect()) == [("q1", 5, 4), ("q2", 0, None), ("q3", 20000, None)]
