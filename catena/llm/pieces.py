@@ -16,12 +16,14 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces that a worker keeps in each of two generations.
-CACHE = 700_000
+CACHE = 500_000
 #: Characters of the longest piece that is kept.
 LONG = 64
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _NEAR_WHITE = re.compile(r"\n(?:(?<=\s\n)|(?=\s)|\Z)|\A\n")
 _NEWLINE = ("\n",)
+#: What the vocabulary without lead, which lower-cases letter by letter, may not read as str.lower() does, and special tokens.
+_KEEPS_CASE = re.compile(r"[^\x00-\u024f]|<").search
 #: A letter or digit with ASCII marks behind it, where both vocabularies begin a new word. No apostrophe, which may
 #: begin a contraction, and no <, with which special tokens begin.
 _ENDED = re.compile(r"([^<]*[^\W_])([!-&(-/:;=-@\[-`{-~]+)\Z", re.DOTALL)
@@ -30,6 +32,8 @@ _ENDED = re.compile(r"([^<]*[^\W_])([!-&(-/:;=-@\[-`{-~]+)\Z", re.DOTALL)
 def split_pieces(text: str, lead: str) -> list:
     """A text's pieces; one that takes no lead is in a tuple of its own, which makes it another key of the cache."""
     if not lead:
+        if not _KEEPS_CASE(text):
+            text = text.lower()
         return text.replace("\n", " ").split(" ")
     if "  " in text or "\n" in text and _NEAR_WHITE.search(text):
         pieces = _INNER.split(text)
