@@ -79,11 +79,9 @@ def _tags(names: list[str]) -> list[Column]:
 def paf_lines(frags: DataFrame) -> DataFrame:
     """PAF lines of fragments (qname, qlen, qb, qe, strand, sname, sl, sb, se, matches, columns, mapq and the columns of tags ds qS qE vS vE qi).
 
-    qb and qe are on the aligned strand and are turned to the forward read here.
+    All places are those of the forward read and contig.
     """
-    rev = F.col("strand") == 1
-    b, e = F.when(rev, F.col("qlen") - F.col("qe")).otherwise(F.col("qb")), F.when(rev, F.col("qlen") - F.col("qb")).otherwise(F.col("qe"))
-    fields = ["qname", "qlen", b, e, F.when(rev, "-").otherwise("+"), "sname", "sl", "sb", "se", "matches", "columns", "mapq"]
+    fields = ["qname", "qlen", "qb", "qe", F.when(F.col("strand") == 1, "-").otherwise("+"), "sname", "sl", "sb", "se", "matches", "columns", "mapq"]
     cols = [(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields]
     return frags.select(F.concat_ws("\t", *cols, *_tags(["ds", "qS", "qE", "vS", "vE", "qi"])).alias("value"))
 

@@ -112,8 +112,10 @@ def test_simulated_reads_are_mapped(spark):
     truth = parse_truth(reads).select("read_id", F.col("ord").alias("ord"), F.regexp_extract("chr", r"(\d+)", 1).cast("long").alias("sid"), "sb", "se")
     seeds = ix.seeds(reads, ix.build_index(refs))
     assert chains(seeds).count() > 0.8 * truth.count()  # neighbouring fragments make one chain
-    got = fragments(reads, refs, seeds)
+    got = fragments(reads, refs, seeds, motif="GATC")
     row = fr.evaluate(got.withColumn("strand", F.col("strand").cast("long")), truth, ["qb", "qe", "sid", "sb"]).head()
     assert row.precision > 0.9 and row.recall > 0.85 and row.boundary_precision > 0.9
     for r in got.collect():
-        assert 0 <= r.qb < r.qe <= r.qlen and 0 <= r.mapq <= 60
+        assert 0 <= r.qb < r.qe <= r.qlen and 0 <= r.sb < r.se <= r.sl and 0 <= r.mapq <= 60 and r.qe - r.qb >= 50
+    spans = sorted((r.read_id, r.qb, r.qe) for r in got.collect())
+    assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:]))

@@ -17,7 +17,7 @@ def test_fasta_and_fastq(spark, tmp_path):
 def test_sam_and_paf_round_trip(spark):
     df = spark.sql("select 'q' qname, 100 qlen, 10 qb, 40 qe, 1 strand, 'c' sname, 500 sl, 20 sb, 50 se, 30 matches, 30 `columns`, 60 mapq, 7 ddf_score, 1 read_id, 0 q_left, 100 q_right, 0 s_left, 60 s_right, 3 sid, 2064 flag, '30=' cigar, 'A' seq, 'I' qual")
     line = tx.paf_lines(df).head().value
-    assert line.split("\t")[:5] == ["q", "100", "60", "90", "-"] and line.endswith("ds:i:7\tqS:i:0\tqE:i:100\tvS:i:0\tvE:i:60\tqi:i:1")
+    assert line.split("\t")[:5] == ["q", "100", "10", "40", "-"] and line.endswith("ds:i:7\tqS:i:0\tqE:i:100\tvS:i:0\tvE:i:60\tqi:i:1")
     assert tx.parse_paf(spark.createDataFrame([(line,)], "value string")).head().sb == 20
     assert tx.sam_lines(df, fragments=True).head().value.split("\t")[1] == "16"
     head = [r.line for r in tx.sam_header(spark.createDataFrame([(0, "c", 500)], "sid int, name string, len int")).orderBy("ord").collect()]
