@@ -104,6 +104,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM s),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM later),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+k AS (SELECT p.doc_id, count(gone.pos) AS n_removed, string_agg(p.word, ' ' ORDER BY p.pos) FILTER (gone.pos IS NULL) AS kept
+      FROM p LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.pos = p.pos GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, train_rows())
@@ -143,4 +157,4 @@ SELECT e.vec_id, coalesce(l.k, 0) AS n_links, m.c AS component_id, e.vec_id = m.
 FROM e JOIN m ON m.n = e.vec_id LEFT JOIN l ON l.a = e.vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_substring_dedup": OP9_SQL}
