@@ -32,6 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catena.llm.common import worker_cache
 from catena.llm.pieces import PieceEncoder
 
 #: The byte-level pre-splitting pattern of the vocabulary's family.
@@ -189,6 +190,7 @@ class ByteLevelBPE:
         return got.decode("utf-8", "replace")
 
 
+@worker_cache
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> ByteLevelBPE:
     """One automaton for each worker process and file."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,14 +78,16 @@ def hex64(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 
 
-def byte_chunks(values: Iterable[bytes], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges [a, b) of a list of byte strings that hold about limit bytes, one string at least."""
-    a = b = size = 0
-    for v in values:
-        if size and size + len(v) > limit:
-            yield a, b
-            a, size = b, 0
-        size += len(v) + 1
-        b += 1
-    if b > a:
-        yield a, b
+_caches: list = []
+
+
+def worker_cache(cached):
+    """Register an lru_cache that worker processes keep between tasks."""
+    _caches.append(cached)
+    return cached
+
+
+def free_worker_caches() -> None:
+    """Give back what this worker process keeps for operators that ran before; called where another operator needs the memory."""
+    for cached in _caches:
+        cached.cache_clear()

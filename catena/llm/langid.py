@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catena.llm.common import free_worker_caches
+
 #: Bytes of an n-gram.
 N = 4
 #: Positions of the filters, 2^20, and hashes of an n-gram.
@@ -150,6 +152,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
 
     @F.pandas_udf("lang string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        free_worker_caches()
         for texts in batches:
             yield pd.DataFrame(shared.value.predict([None if t is None or t != t else t for t in texts.tolist()]), columns=["lang", "score"])
 

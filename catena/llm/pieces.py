@@ -15,8 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
+from catena.llm.common import worker_cache
+
 #: Pieces that a worker keeps in each of two generations.
-CACHE = 500_000
+CACHE = 400_000
 #: Characters of the longest piece that is kept.
 LONG = 64
 _INNER = re.compile(r"(?<=\S) (?=\S)")
@@ -127,6 +129,7 @@ class PieceEncoder:
         yield from self.many(held)
 
 
+@worker_cache
 @lru_cache(maxsize=4)
 def library_encoder(path: str, lead: str) -> PieceEncoder:
     """Of a tokenizers file; one for each worker process.

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import saved, skew_join
+from catena.llm.common import free_worker_caches, saved, skew_join
 from catena.llm.components import connected_components
 
 SEED = 42
@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
         for batch in batches:
             made = [sketch(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())], ["doc_id", "fps", "signature"])

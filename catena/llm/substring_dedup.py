@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catena.llm.common import saved, shuffle_partitions
+from catena.llm.common import free_worker_caches, saved, shuffle_partitions
 from catena.llm.words import Words, chunks, spark_xxhash64
 
 WINDOW = 20
@@ -36,7 +36,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Words of an anchor window.
 ANCHOR = WINDOW - PERIOD + 1
 #: Hashes that a task gathers before it sends them.
-BLOCK = 1_500_000
+BLOCK = 600_000
 _NO_ID = -(1 << 63)
 _U = np.uint64
 
@@ -265,6 +265,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     buckets = shuffle_partitions(docs.sparkSession)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
+
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
@@ -274,6 +276,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         yield from _gather(blocks(), lambda *x: _anchor_blocks(*x, buckets))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
+
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
             for ids, texts, marks, _ in _met(batches):
                 some = [k for k, m in enumerate(marks) if len(m)]
@@ -294,6 +298,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         yield from _gather(blocks(), lambda *x: _window_blocks(*x, buckets))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
         for ids, texts, marks, rest in _met(batches):
             n, removed, kept = [], [], []
             for text, places in zip(texts, marks):

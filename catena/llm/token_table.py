@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catena.llm.common import saved, shuffle_partitions, skew_join
+from catena.llm.common import free_worker_caches, saved, shuffle_partitions, skew_join
 from catena.llm.pieces import library_encoder
 
 ROW_GROUP_BYTES = 32 << 20
@@ -50,7 +50,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, lead: str = "", id_col
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one range partition in order: ids as lists, with their place in the partition."""
-    library_encoder.cache_clear()  # this worker has encoded before; writing needs the memory
+    free_worker_caches()  # this worker has encoded before; writing needs the memory
     at = 0
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
