@@ -142,8 +142,10 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 SAMPLES, SAMPLE_SIZE = 6, 3
 #: Smallest shingle hashes that similarity is taken from; sets of no more are compared whole.
 SIGNATURE = 320
-#: Documents that each member of a large bucket is compared with.
+#: Documents that each member of a large bucket is compared with first, so that what they connect is not compared again.
 CENTRES = 8
+#: Members of a bucket that meet as many others in one task, about.
+TILE = 2048
 _MIXERS = [int(x) | 1 for x in np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, SAMPLES, dtype=np.uint64)]
 
 
@@ -174,6 +176,29 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(both, x[np.isin(x, y)]).sum() / len(both))
 
 
+def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: every two documents of one bucket that found (node, component) does not connect.
+
+    members has bucket and doc_id. In a bucket, those outside its largest
+    component meet all, in salted tiles.
+    """
+    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = saved(labelled.distinct())
+    parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = parts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    tiles = lambda n: F.ceil(n / float(tile)).cast("int")
+    sizes = sizes.select("bucket", F.col("most.component").alias("main"), tiles(F.col("n") - F.col("most.k")).alias("rows"), tiles(F.col("n")).alias("columns"))
+    dealt = saved(skew_join(labelled, sizes, "bucket"))
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = dealt.where("component <> main").withColumn("row", place("rows")).withColumn("column", every("columns"))
+    left = left.select("bucket", "row", "column", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+    right = dealt.withColumn("column", place("columns")).withColumn("row", every("rows"))
+    right = right.select("bucket", "row", "column", "main", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    met = left.join(right, ["bucket", "row", "column"]).where("cx <> cy and (cy = main or x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of documents with near copies: shingles of five words, Jaccard similarity of 0.8 or more.
 
@@ -182,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints of samples of its shingles; whole ones are linked within two
     bits by pigeonring, those of samples when equal, and linked texts are
     compared by their signatures. In buckets of over SMALL_BUCKET texts each is
-    compared with CENTRES of them instead of all. Null, empty and blank texts
+    compared with CENTRES of them first; then every two texts of a bucket that
+    are not connected yet are compared. Null, empty and blank texts
     are near nothing; texts of fewer than five words near those of the same
     words. Rows without an id have no part; those that share an id count as the
     first of them.
@@ -199,22 +225,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = sketches.where(F.length("signature") > 0).select("doc_id", F.posexplode("fps").alias("sample", "fp")).withColumn("bucket", F.xxhash64("sample", "fp"))
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in range(CENTRES)]).where("n > 1")
     members = saved(skew_join(keyed.select("bucket", "doc_id"), counts.withColumn("centres", F.array(*[F.col(f"c{k}.doc_id") for k in range(CENTRES)])).select("bucket", "n", "centres"), "bucket"))
-    few = members.where(F.col("n") <= SMALL_BUCKET).select("bucket", "doc_id")
-    pairs = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), "bucket").where("a < b").select("a", "b")
     many = members.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode("centres").alias("c"))
     many = many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
     points = saved(keyed.where("sample = 0").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = saved(pairs.unionByName(many).unionByName(near_links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) >= NEAR_SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
-    own = sketches.groupBy("doc_id").agg(F.min("signature").alias("signature"))
-    own = saved(own.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a")
-    found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-    return connected_components(saved(found.where(alike("sa", "sb")).select("a", "b")))
+    def near(pairs: DataFrame) -> DataFrame:
+        links = saved(pairs.distinct())
+        own = sketches.groupBy("doc_id").agg(F.min("signature").alias("signature"))
+        own = saved(own.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a")
+        found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
+        return saved(found.where(alike("sa", "sb")).select("a", "b"))
+
+    first = near(many.unionByName(near_links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    rest = near(unconnected_pairs(members.select("bucket", "doc_id"), connected_components(first)))
+    return connected_components(first.unionByName(rest))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

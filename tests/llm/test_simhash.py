@@ -105,3 +105,35 @@ def test_near_duplicates(spark):
     a, b = (sketch(" ".join(docs[k]).encode())[1] for k in (0, 100))
     if max(len(shingles[0]), len(shingles[100])) < 320:
         assert abs(similarity(a, b) - jac(0, 100)) < 1e-9
+
+
+def test_near_copies_of_one_original_meet_it(spark):
+    from catena.llm.simhash import near_duplicates
+
+    rng = random.Random(17)
+    original = [f"o{k}" for k in range(300)]
+    docs = {1000: original}
+    for k in range(400):
+        w = list(original)
+        for at in rng.sample(range(2, 298, 5), 6):
+            w[at] = f"new{k}x{at}"
+        docs[k] = w
+    rows = [(k, " ".join(w)) for k, w in docs.items()]
+    got = {r.node: r.component for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = {k: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in docs.items()}
+    jac = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    close = [k for k in range(400) if jac(k, 1000) >= 0.8]
+    assert len(close) == 400
+    shared = {k for k in close if got.get(k) == got.get(1000, 1000)}
+    # What shares no sample with the original is for another test.
+    assert len(shared) >= 380
+
+
+def test_every_unconnected_pair_of_a_bucket(spark):
+    from catena.llm.simhash import unconnected_pairs
+
+    members = [(b, d) for b in (1, 2) for d in range(40 * b)]
+    component = {d: d % 7 if d < 30 else d for d in range(80)}
+    found = spark.createDataFrame([(d, c) for d, c in component.items() if d < 30], "node long, component long")
+    got = unconnected_pairs(spark.createDataFrame(members, "bucket long, doc_id long"), found, 8).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for b in range(80) for a in range(b) if component[a] != component[b]}
