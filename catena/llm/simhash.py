@@ -140,8 +140,6 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2, id_co
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: Samples of a document that get a fingerprint each, and shingles of one.
 SAMPLES, SAMPLE_SIZE = 6, 3
-#: Smallest shingle hashes that similarity is taken from; sets of no more are compared whole.
-SIGNATURE = 320
 #: Documents that each member of a large bucket is compared with first, so that what they connect is not compared again.
 CENTRES = 8
 #: Members of a bucket that meet as many others in one task, about.
@@ -150,7 +148,7 @@ _MIXERS = [int(x) | 1 for x in np.random.Generator(np.random.PCG64(11)).integers
 
 
 def sketch(text: bytes, words: int = NEAR_WORDS) -> tuple[list[int], bytes]:
-    """Fingerprints of the whole text and of its samples, and the signature of its shingle set.
+    """Fingerprints of the whole text and of its samples, and its shingle set as sorted hashes.
 
     A sample is the SAMPLE_SIZE shingles with the smallest values under one of
     SAMPLES mixings, so that similar sets often have the same one.
@@ -163,17 +161,16 @@ def sketch(text: bytes, words: int = NEAR_WORDS) -> tuple[list[int], bytes]:
         mixed ^= mixed >> np.uint64(32)
         pick = own if len(own) <= SAMPLE_SIZE else own[np.argpartition(mixed, SAMPLE_SIZE)[:SAMPLE_SIZE]]
         fps.append(fingerprint(pick))
-    return fps, own[:SIGNATURE].tobytes()
+    return fps, own.tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two signatures: exact for sets within SIGNATURE, else of the smallest SIGNATURE of both together."""
+    """Jaccard similarity of two shingle sets."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return 0.0
-    full = SIGNATURE if max(len(x), len(y)) == SIGNATURE else len(x) + len(y)
-    both = np.union1d(x, y)[:full]
-    return float(np.isin(both, x[np.isin(x, y)]).sum() / len(both))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE) -> DataFrame:
@@ -206,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more than segments of a ring can find among very many. So a text also has
     fingerprints of samples of its shingles; whole ones are linked within two
     bits by pigeonring, those of samples when equal, and linked texts are
-    compared by their signatures. In buckets of over SMALL_BUCKET texts each is
+    compared by their whole shingle sets. In buckets of over SMALL_BUCKET texts each is
     compared with CENTRES of them first; then every two texts of a bucket that
     are not connected yet are compared. Null, empty and blank texts
     are near nothing; texts of fewer than five words near those of the same
@@ -218,11 +215,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         free_worker_caches()
         for batch in batches:
             made = [sketch(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())], ["doc_id", "fps", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())], ["doc_id", "fps", "shingles"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = saved(rows.mapInArrow(run, "doc_id long, fps array<long>, signature binary"))
-    keyed = sketches.where(F.length("signature") > 0).select("doc_id", F.posexplode("fps").alias("sample", "fp")).withColumn("bucket", F.xxhash64("sample", "fp"))
+    sketches = saved(rows.mapInArrow(run, "doc_id long, fps array<long>, shingles binary"))
+    keyed = sketches.where(F.length("shingles") > 0).select("doc_id", F.posexplode("fps").alias("sample", "fp")).withColumn("bucket", F.xxhash64("sample", "fp"))
     counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in range(CENTRES)]).where("n > 1")
     members = saved(skew_join(keyed.select("bucket", "doc_id"), counts.withColumn("centres", F.array(*[F.col(f"c{k}.doc_id") for k in range(CENTRES)])).select("bucket", "n", "centres"), "bucket"))
     many = members.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode("centres").alias("c"))
@@ -234,11 +231,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def near(pairs: DataFrame) -> DataFrame:
         links = saved(pairs.distinct())
-        own = sketches.groupBy("doc_id").agg(F.min("signature").alias("signature"))
-        own = saved(own.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa")), "a")
-        found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb")), "b")
-        return saved(found.where(alike("sa", "sb")).select("a", "b"))
+        own = sketches.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        own = saved(own.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+        found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
+        found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+        return saved(found.where(alike("xa", "xb")).select("a", "b"))
 
     first = near(many.unionByName(near_links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     rest = near(unconnected_pairs(members.select("bucket", "doc_id"), connected_components(first)))

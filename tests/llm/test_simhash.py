@@ -137,3 +137,16 @@ def test_every_unconnected_pair_of_a_bucket(spark):
     found = spark.createDataFrame([(d, c) for d, c in component.items() if d < 30], "node long, component long")
     got = unconnected_pairs(spark.createDataFrame(members, "bucket long, doc_id long"), found, 8).collect()
     assert {(r.a, r.b) for r in got} == {(a, b) for b in range(80) for a in range(b) if component[a] != component[b]}
+
+
+def test_similarity_of_long_texts_is_exact():
+    from catena.llm.simhash import similarity, sketch
+
+    rng = random.Random(23)
+    for changed in (38, 40, 42, 44, 46, 48, 50, 52):
+        a = [f"w{k}" for k in range(2000)]
+        b = list(a)
+        for at in rng.sample(range(2, 1998, 5), changed):
+            b[at] = f"new{at}"
+        x, y = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert similarity(sketch(" ".join(a).encode())[1], sketch(" ".join(b).encode())[1]) == len(x & y) / len(x | y)
