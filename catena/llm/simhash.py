@@ -14,6 +14,7 @@ fingerprints, 65 at most, are linked with the smallest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,30 +139,34 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2, id_co
 
 #: Near copies: words of a shingle, least Jaccard similarity of the shingle sets.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
-#: Samples of a document that get a fingerprint each, and shingles of one.
-SAMPLES, SAMPLE_SIZE = 6, 3
+#: Documents that the frequent shingles are taken from, how many of them must have one, and how many are kept; they decide the order of work, not the result.
+SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 50_000
 #: Documents that each member of a large bucket is compared with first, so that what they connect is not compared again.
 CENTRES = 8
 #: Members of a bucket that meet as many others in one task, about.
 TILE = 2048
-_MIXERS = [int(x) | 1 for x in np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, SAMPLES, dtype=np.uint64)]
 
 
-def sketch(text: bytes, words: int = NEAR_WORDS) -> tuple[list[int], bytes]:
-    """Fingerprints of the whole text and of its samples, and its shingle set as sorted hashes.
+def sketch(text: bytes, words: int = NEAR_WORDS, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, bytes]:
+    """Prefix of the shingle set, and the set as sorted hashes.
 
-    A sample is the SAMPLE_SIZE shingles with the smallest values under one of
-    SAMPLES mixings, so that similar sets often have the same one.
+    Sets are ordered by how often frequent (sorted hashes, counts) has a
+    shingle, then by hash. Two sets with a similarity of NEAR_SIMILARITY share
+    at least that part of the larger one, so their prefixes, one longer than
+    what each may lack, have a shingle in common.
     """
-    hashes = shingle_hashes(text, words)
-    own = np.unique(hashes)
-    fps = [fingerprint(hashes)]
-    for m in _MIXERS:
-        mixed = own * np.uint64(m)
-        mixed ^= mixed >> np.uint64(32)
-        pick = own if len(own) <= SAMPLE_SIZE else own[np.argpartition(mixed, SAMPLE_SIZE)[:SAMPLE_SIZE]]
-        fps.append(fingerprint(pick))
-    return fps, own.tobytes()
+    own = np.unique(shingle_hashes(text, words))
+    if not len(own):
+        return own.view(np.int64), b""
+    order = own
+    if frequent is not None and len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
+        order = own[np.lexsort((own, np.where(frequent[0][at] == own, frequent[1][at], 0)))]
+    return order[: prefix_length(len(own))].view(np.int64), own.tobytes()
+
+
+def prefix_length(n: int) -> int:
+    return n - math.ceil(n * NEAR_SIMILARITY - 1e-9) + 1
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -174,9 +179,10 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b: every two documents of one bucket that found (node, component) does not connect.
+    """(a, b, na, nb), a < b: every two documents of one bucket that found (node, component) does not connect, once for each such bucket.
 
-    members has bucket and doc_id. In a bucket, those outside its largest
+    members has bucket, doc_id and size, the number of shingles; sizes too
+    different for NEAR_SIMILARITY don't meet. In a bucket, those outside its largest
     component meet all, in salted tiles.
     """
     labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -189,56 +195,89 @@ def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE) ->
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.where("component <> main").withColumn("row", place("rows")).withColumn("column", every("columns"))
-    left = left.select("bucket", "row", "column", F.col("doc_id").alias("x"), F.col("component").alias("cx"))
+    left = left.select("bucket", "row", "column", F.col("doc_id").alias("x"), F.col("size").alias("nx"), F.col("component").alias("cx"))
     right = dealt.withColumn("column", place("columns")).withColumn("row", every("rows"))
-    right = right.select("bucket", "row", "column", "main", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
+    right = right.select("bucket", "row", "column", "main", F.col("doc_id").alias("y"), F.col("size").alias("ny"), F.col("component").alias("cy"))
     met = left.join(right, ["bucket", "row", "column"]).where("cx <> cy and (cy = main or x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = met.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * NEAR_SIMILARITY - 1e-9)
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+
+def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that a bounded sample of rows (doc_id, text) has most often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(1).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py() or b"", NEAR_WORDS)).view(np.int64))], ["hash"])
+
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.where(draw < SAMPLE / max(1, rows.count())).mapInArrow(run, "hash long")
+    top = some.groupBy("hash").count().where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).toPandas()
+    top = top.assign(hash=top["hash"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
+    return top["hash"].to_numpy(np.uint64), top["count"].to_numpy(np.int64)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of documents with near copies: shingles of five words, Jaccard similarity of 0.8 or more.
 
-    Fingerprints of whole texts differ by 5 to 12 of 64 bits at that similarity,
-    more than segments of a ring can find among very many. So a text also has
-    fingerprints of samples of its shingles; whole ones are linked within two
-    bits by pigeonring, those of samples when equal, and linked texts are
-    compared by their whole shingle sets. In buckets of over SMALL_BUCKET texts each is
-    compared with CENTRES of them first; then every two texts of a bucket that
-    are not connected yet are compared. Null, empty and blank texts
+    By prefix filtering every such pair is found: sets in one order, frequent
+    shingles last, share a shingle of their prefixes. Where a shingle has over
+    SMALL_BUCKET texts, each is compared with CENTRES of its largest bucket
+    first; then every two texts of a bucket that are not connected yet, unless
+    their sizes or the shingles that their prefixes share are too few for the
+    similarity. Whole shingle sets decide. Null, empty and blank texts
     are near nothing; texts of fewer than five words near those of the same
     words. Rows without an id have no part; those that share an id count as the
     first of them.
     """
 
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    frequent = frequent_shingles(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker_caches()
         for batch in batches:
-            made = [sketch(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())], ["doc_id", "fps", "shingles"])
+            made = [sketch(t.as_py() or b"", frequent=frequent) for t in batch.column(1).cast(pa.binary())]
+            sizes = pa.array([len(s) // 8 for _, s in made], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([x for x, _ in made], pa.list_(pa.int64()))], ["doc_id", "size", "prefix"])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = saved(rows.mapInArrow(run, "doc_id long, fps array<long>, shingles binary"))
-    keyed = sketches.where(F.length("shingles") > 0).select("doc_id", F.posexplode("fps").alias("sample", "fp")).withColumn("bucket", F.xxhash64("sample", "fp"))
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in range(CENTRES)]).where("n > 1")
-    members = saved(skew_join(keyed.select("bucket", "doc_id"), counts.withColumn("centres", F.array(*[F.col(f"c{k}.doc_id") for k in range(CENTRES)])).select("bucket", "n", "centres"), "bucket"))
-    many = members.where(F.col("n") > SMALL_BUCKET).select("doc_id", F.explode("centres").alias("c"))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t.as_py() or b"")[1] for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
+
+    sketches = saved(rows.mapInArrow(run, "doc_id long, size int, prefix array<long>"))
+    keyed = sketches.select("doc_id", "size", F.explode("prefix").alias("bucket"))
+    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = saved(skew_join(keyed, counts, "bucket"))
+    hot = members.where(F.col("n") > SMALL_BUCKET)
+    centres = hot.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in range(CENTRES)])
+    centres = centres.select("bucket", F.array(*[F.col(f"c{k}.doc_id") for k in range(CENTRES)]).alias("centres"))
+    largest = hot.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("most")).select("doc_id", "most.bucket")
+    many = skew_join(largest, centres, "bucket").select("doc_id", F.explode("centres").alias("c"))
     many = many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
-    points = saved(keyed.where("sample = 0").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) >= NEAR_SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
     def near(pairs: DataFrame) -> DataFrame:
         links = saved(pairs.distinct())
-        own = sketches.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        own = saved(own.groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+        # Whole sets take more room than texts, so they are made again for the texts in pairs, not kept for all.
+        own = rows.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        own = saved(own.mapInArrow(whole, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
         found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
         found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
         return saved(found.where(alike("xa", "xb")).select("a", "b"))
 
-    first = near(many.unionByName(near_links(points).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    rest = near(unconnected_pairs(members.select("bucket", "doc_id"), connected_components(first)))
+    first = near(many)
+    rest = unconnected_pairs(members.select("bucket", "doc_id", "size"), connected_components(first)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    # What two sets share lies in both prefixes or behind one of them.
+    behind = F.greatest(*[F.ceil(F.col(n) * NEAR_SIMILARITY - 1e-9) - 1 for n in ("na", "nb")])
+    needed = (F.col("na") + F.col("nb")) * (NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) - 1e-6
+    rest = near(rest.where(F.col("shared") + behind >= needed).select("a", "b"))
     return connected_components(first.unionByName(rest))
 
 
