@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catena.llm.common import worker_cache
-from catena.llm.pieces import PieceEncoder
+from catena.llm.pieces import PieceEncoder, byte_letters
 
 #: The byte-level pre-splitting pattern of the vocabulary's family.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,18 +41,6 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 ARCS = 1_000_000
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the file: printable bytes for themselves, others from U+0100 on."""
-    out, more = {}, 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            out[chr(b)] = b
-        else:
-            out[chr(more)] = b
-            more += 1
-    return out
-
-
 class Automaton:
     """Of merges: label gives a token's bytes, born its rank (bytes: -1), parts what it was merged from."""
 
@@ -163,7 +151,7 @@ class ByteLevelBPE:
         self.label = labels | {i: s.encode() for s, i in self.special.items()}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = PieceEncoder(lambda pieces: [np.array(self.piece(p), "<u4").tobytes() for p in pieces], " ")
+        self.pieces = PieceEncoder(lambda p: np.array(self.piece(p), "<u4").tobytes(), " ")
 
     @staticmethod
     def _expect(spec: dict, model: dict) -> None:
@@ -212,7 +200,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             rows = []
-            for ids in model.pieces.stream(t.as_py() for t in batch.column(1)):
+            for ids in map(model.pieces, (t.as_py() for t in batch.column(1))):
                 decoded = model.decode(ids)
                 rows.append((len(ids) // 4, sha(ids), sha(decoded.encode()), *((ids, decoded) if keep else ())))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]

@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             cols: list[list] = [[] for _ in range(5 + ids)]
-            for doc, raw in zip(batch.column(0).to_pylist(), encode.stream(t.as_py() for t in batch.column(1))):
+            for doc, raw in zip(batch.column(0).to_pylist(), map(encode, (t.as_py() for t in batch.column(1)))):
                 raw += tail
                 start = 0
                 for k, n in enumerate(cut_lengths(len(raw) // 4, capacity)):

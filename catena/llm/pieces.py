@@ -10,7 +10,8 @@ white space touches white space is cut only at spaces that don't.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -19,16 +20,30 @@ from catena.llm.common import worker_cache
 
 #: Pieces that a worker keeps in each of two generations.
 CACHE = 400_000
-#: Characters of the longest piece that is kept.
+#: Characters of the longest piece that is kept; of longer ones' ids nothing is.
 LONG = 64
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _NEAR_WHITE = re.compile(r"\n(?:(?<=\s\n)|(?=\s)|\Z)|\A\n")
 _NEWLINE = ("\n",)
 #: What the vocabulary without lead, which lower-cases letter by letter, may not read as str.lower() does, and special tokens.
 _KEEPS_CASE = re.compile(r"[^\x00-\u024f]|<").search
+#: Letters up to U+024F. No dotted capital I: lower-cased it ends in a mark, which joins the marks behind it.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 #: A letter or digit with ASCII marks behind it, where both vocabularies begin a new word. No apostrophe, which may
 #: begin a contraction, and no <, with which special tokens begin.
-_ENDED = re.compile(r"([^<]*[^\W_])([!-&(-/:;=-@\[-`{-~]+)\Z", re.DOTALL)
+_ENDED = re.compile(rf"([^<]*[0-9{_LETTERS}])([!-&(-/:;=-@\[-`{{-~]+)\Z", re.DOTALL)
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, others from U+0100 on."""
+    out, more = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[chr(b)] = b
+        else:
+            out[chr(more)] = b
+            more += 1
+    return out
 
 
 def split_pieces(text: str, lead: str) -> list:
@@ -51,82 +66,48 @@ def split_pieces(text: str, lead: str) -> list:
     return out
 
 
+class _Known(dict):
+    """Ids by piece; what is missing comes from the generation before or is made."""
+
+    def __init__(self, make: Callable[[_Known, str | tuple[str]], bytes], before: dict):
+        self.make, self.before = make, before
+
+    def __missing__(self, piece: str | tuple[str]) -> bytes:
+        found = self.before.get(piece)
+        if found is None:
+            found = self.make(self, piece)
+        if len(piece if type(piece) is str else piece[0]) <= LONG:
+            self[piece] = found
+        return found
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    encode maps strings to such bytes, many at once. lead is put before each
-    piece but a text's first: a space, or nothing where spaces make no ids.
-    Known pieces are in two generations of at most about cache pieces: what is
-    used again moves to the young one; the old one goes when that is full.
+    encode maps a string to such bytes. lead is put before each piece but a
+    text's first: a space, or nothing where spaces make no ids. Known pieces
+    are in two generations of at most about cache pieces: what is used again
+    moves to the young one; the old one goes when that is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str, cache: int = CACHE):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, cache: int = CACHE):
         self.encode, self.lead, self.cache = encode, lead, cache
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Of some texts; what none of them has had before is encoded in one call."""
-        if len(self.young) >= self.cache:
-            self.old, self.young = self.young, {}
-        get = self.young.get
-        cut, unknown = [], set()
-        for text in texts:
-            pieces = split_pieces(text, self.lead) if text else []
-            found = list(map(get, pieces))
-            if None in found:
-                gaps = [k for k, f in enumerate(found) if f is None]
-                unknown.update([pieces[k] for k in gaps])
-                cut.append((found, gaps, pieces))
-            else:
-                cut.append((found, (), pieces))
-        own: dict = {}
-        fresh, ended = [], []
-        for p in list(unknown):
-            seen = self.old.get(p)
-            if seen is not None:
-                self.young[p] = seen
-                continue
-            single = type(p) is tuple
-            at = _ENDED.match(p[0] if single else p)
-            if at is None:
-                fresh.append(p)
-                continue
-            base, end = at.group(1), (at.group(2),)
-            ended.append((p, base := (base,) if single else base, end))
-            for q in (base, end):
-                if q not in self.young and q not in unknown:
-                    unknown.add(q)
-                    if (seen := self.old.get(q)) is None:
-                        fresh.append(q)
-                    else:
-                        self.young[q] = seen
-        for p, ids in zip(fresh, self.encode([p[0] if type(p) is tuple else self.lead + p for p in fresh])):
-            (own if len(p[0] if type(p) is tuple else p) > LONG else self.young)[p] = ids
-        for p, base, end in ended:
-            ids = (own.get(base) or self.young.get(base, b"")) + (own.get(end) or self.young.get(end, b""))
-            (own if len(p[0] if type(p) is tuple else p) > LONG else self.young)[p] = ids
-        young = self.young
-        for found, gaps, pieces in cut:
-            for k in gaps:
-                p = pieces[k]
-                found[k] = own[p] if p in own else young[p]
-        return [b"".join(found) for found, _, _ in cut]
-
-    def stream(self, texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[bytes]:
-        """Of any number of texts, about limit characters at a time; a null text is empty."""
-        held: list[str] = []
-        size = 0
-        for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= limit:
-                yield from self.many(held)
-                held, size = [], 0
-        yield from self.many(held)
+        self.known = _Known(self._make, {})
+
+    def _make(self, known: _Known, piece: str | tuple[str]) -> bytes:
+        alone = type(piece) is tuple
+        text = piece[0] if alone else piece
+        if not text.isalpha() and (cut := _ENDED.match(text)):
+            base = cut.group(1)
+            return known[(base,) if alone else base] + known[(cut.group(2),)]
+        return self.encode(text if alone else self.lead + text)
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(self.known) >= self.cache:
+            self.known = _Known(self._make, dict(self.known))
+        return b"".join(map(self.known.__getitem__, split_pieces(text, self.lead)))
 
 
 @worker_cache
@@ -134,33 +115,35 @@ class PieceEncoder:
 def library_encoder(path: str, lead: str) -> PieceEncoder:
     """Of a tokenizers file; one for each worker process.
 
-    Pieces are given to the library joined by a separator whose one id parts
-    them again. With a lead that is a newline, for pieces without white space;
-    without lead (spaces make no ids) a digit between spaces, for pieces
-    without it. Other pieces go one by one.
+    Pieces of letters are one word to either vocabulary and go to the
+    library's model without its splitting; other pieces go through all of it.
     """
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    separator = "\n" if lead else " 0 "
-    unsafe = re.compile(r"\s" if lead else "0").search
-    mark = tok.encode(separator, add_special_tokens=False).ids
-    ids = lambda s: np.array(tok.encode(s, add_special_tokens=False).ids, "<u4")
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(pieces)
-        plain = [k for k, p in enumerate(pieces) if len(p) > len(lead) and not unsafe(p, len(lead))] if len(mark) == 1 else []
-        for a in range(0, len(plain), 500):
-            part = plain[a : a + 500]
-            got = np.array(tok.encode_batch_fast([separator.join([pieces[k] for k in part])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(got == mark[0]).tolist()
-            if len(ends) == len(part) - 1:
-                raw, begin = got.tobytes(), 0
-                for k, end in zip(part, [*ends, len(got)]):
-                    out[k] = raw[4 * begin : 4 * end]
-                    begin = end + 1
-        return [ids(p).tobytes() if o is None else o for p, o in zip(pieces, out)]
-
-    return PieceEncoder(encode, lead)
+    model = tok.model.tokenize
+    letter = {byte: c for c, byte in byte_letters().items()}
+    word = re.compile(f"[{_LETTERS}]+").fullmatch
+    pack = [struct.Struct(f"<{n}I").pack for n in range(LONG)]
+
+    def by_library(piece: str) -> bytes:
+        return np.array(tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def by_model(piece: str) -> bytes:
+        if not lead:
+            piece = piece.lower()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(letter)
+        elif piece[0] == " ":
+            piece = letter[32] + piece[1:]
+        found = [t.id for t in model(piece)]
+        return pack[len(found)](*found)
+
+    def encode(piece: str) -> bytes:
+        return by_model(piece) if len(piece) < LONG and word(piece, piece[:1] == " " == lead) else by_library(piece)
+
+    # A vocabulary whose model wants other letters than the byte-level ones shows it on these.
+    direct = all(by_model(p) == by_library(p) for p in (lead + "Probe", lead + "\u00dcber", "queue", "\u00e9t\u00e9"))
+    return PieceEncoder(encode if direct else by_library, lead)

@@ -14,68 +14,57 @@ start is that plus at, its place within the file.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catena.llm.common import free_worker_caches, saved, shuffle_partitions, skew_join
+from catena.llm.common import shuffle_partitions, skew_join
 from catena.llm.pieces import library_encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_PAGE_BYTES = 1 << 20
+#: Documents that a worker holds the ids of at a time.
+ROWS = 256
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, lead: str = "", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, packed): the ids of each text and end_id, as zstd of little-endian 16-bit or 32-bit ids, the width in front."""
+def _encoded(tokenizer: str, end_id: int, lead: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc_id, file, text) of one range partition in order, rows of the table: ids as lists, with their place in the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(tokenizer, lead)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         tail = np.array([end_id], "<u4").tobytes()
+        at = 0
         for batch in batches:
-            out = []
-            for raw in encode.stream(t.as_py() for t in batch.column(1)):
-                ids = np.frombuffer(raw + tail, "<u4")
-                small = ids.max() < 1 << 16
-                out.append((b"\2" if small else b"\4") + squeeze(ids.astype("<u2").tobytes() if small else ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, packed binary")
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range partition in order: ids as lists, with their place in the partition."""
-    free_worker_caches()  # this worker has encoded before; writing needs the memory
-    at = 0
-    for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            part = batch.slice(a, 512)
-            ids = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p[1:]), "<u2" if p[0] == 2 else "<u4").astype(np.int32) for p in part.column(2).to_pylist()]
-            counts = np.array([len(x) for x in ids], np.int64)
-            ends = np.cumsum(counts)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at + ends - counts), pa.array(counts), lists], ["doc_id", "file", "at", "n_tokens", "ids"])
-            at += int(ends[-1])
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                ids = [encode(t.as_py()) + tail for t in part.column(2)]
+                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                ends = np.cumsum(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at + ends - counts), pa.array(counts), lists], ["doc_id", "file", "at", "n_tokens", "ids"])
+                at += int(ends[-1])
+
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, lead: str = "", id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write a token table at path, a folder that Spark can reach.
 
-    Null texts count as empty and have end_id alone. Repeated rows are written
-    as often, a null id comes first; an empty table makes an empty one. Other
-    columns are not read.
+    Texts are dealt into ranges of doc_id and sorted first, so that encoding
+    and writing are one pass. Null texts count as empty and have end_id alone.
+    Repeated rows are written as often, a null id comes first; an empty table
+    makes an empty one. Other columns are not read.
     """
     n = shuffle_partitions(docs.sparkSession)
-    # Saved first, as a range exchange reads its input twice. The salt deals repeats of one id over ranges.
-    packed = saved(encoded(docs, tokenizer, end_id, lead, id_col, text_col))
-    rows = packed.repartitionByRange(n, "doc_id", F.xxhash64("packed")).sortWithinPartitions("doc_id").select("doc_id", F.spark_partition_id().alias("file"), "packed")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # The salt deals repeats of one id over ranges.
+    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").select("doc_id", F.spark_partition_id().alias("file"), "text")
     (
-        rows.mapInArrow(_unpacked, "doc_id long, file int, at long, n_tokens long, ids array<int>")
+        rows.mapInArrow(_encoded(tokenizer, end_id, lead), "doc_id long, file int, at long, n_tokens long, ids array<int>")
         .write.option("parquet.writer.version", "v2")
         .option("parquet.block.size", ROW_GROUP_BYTES)
         .option("parquet.page.size", PAGE_BYTES)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from catena.llm.packing import CAPACITY, Plan, cut_lengths, pack, pack_documents, token_pieces
 from catena.llm.pieces import library_encoder
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -115,6 +115,14 @@ def test_one_hot_length_and_bad_lengths(spark):
             pack(df.selectExpr("doc_id", "piece", f"cast({bad} as int) length"), 1000)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aB \u0131\u0130\u201c\u201d\u2019,.<\u0301\u0307\u00df\u00c9 \n\u00bd\u2167\u01c5"), max_size=24))
+@example("\u201cMAL\u0130, \u0130DAR\u0130\u201d dedi \u0130.")
+@example("Stra\u00dfe \u01c5abc \u00bd. \u0130, x\u0301, o'clock's end<|endoftext|>." + "a" * 100)
+def test_marks_behind_letters(text):
+    test_pieces_are_the_librarys.hypothesis.inner_test(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab  \n\t \x1c\x85́é'sΣ1!<|endoftext|>"), max_size=30) | st.text(max_size=20))
 def test_pieces_are_the_librarys(text):
