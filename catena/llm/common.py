@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,31 +32,51 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def _shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile removes its shuffle files when it ends; nothing reads them again, as its result is a table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark, schema = df.sparkSession, df.schema
+    with _shuffles_end(spark):
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage and outlives lost executors.
 
-    Cuts the lineage and outlives lost executors. The shuffle files behind df
-    are released, so the disk in use is that of one phase, not of all.
+    The table stays; for what only an operator itself reads there is Scratch.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/catena-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return _written(df, f"{shared_dir(df.sparkSession)}/catena-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables in the shared folder that are removed at the end of a with block; no plan that reads them may leave it."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, 0
+        self.path = f"{shared_dir(spark)}/catena-{uuid.uuid4().hex}"
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager checkpoint; Spark's cleaner removes its files with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def saved(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        return _written(df, f"{self.path}/{self.tables}")
 
+    def __enter__(self) -> Scratch:
+        return self
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __exit__(self, *_: object) -> None:
+        sc = self.spark.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -69,7 +90,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -
     if right was aggregated by key, so that adaptive execution can split a hot
     key's rows on the left over many tasks.
     """
-    tag = F.xxhash64(F.col(key))
+    tag = F.pmod(F.hash(F.col(key)), F.lit(8)).cast("byte")
     return left.withColumn("_jk", tag).join(right.withColumn("_jk", tag), [key, "_jk"], how).drop("_jk")
 
 

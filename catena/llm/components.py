@@ -1,26 +1,31 @@
 """Connected components by alternating large-star and small-star rounds.
 
 No group is collected: minima are aggregated before the shuffle, joined back
-skew-safely, and each round is checkpointed, so that a hub that links a third
-of all nodes is spread over tasks and a lost executor costs one round at most.
+skew-safely, and each round is written as a table, so that a hub that links a
+third of all nodes is spread over tasks and a lost executor costs one round at
+most.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import checkpointed, skew_join
+from catena.llm.common import Scratch, saved, skew_join
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """(node, component) for every node in links; component is the smallest node reachable.
 
     links holds pairs of longs in any order; loops, repeats and pairs with a
-    null are ignored. No links give an empty table.
+    null are ignored. No links give an empty table. keep writes the result.
     """
+    spark = links.sparkSession
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = checkpointed(edges)
+    table = Scratch(spark)
+    edges = table.saved(edges)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,11 +33,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = skew_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = skew_join(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        before, state, edges = state, _state(small), small
+        with table:
+            table = Scratch(spark)
+            edges = table.saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, state = state, _state(edges)
         if state == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with table:
+        return keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -15,22 +15,24 @@ fingerprints, 65 at most, are linked with the smallest.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import free_worker_caches, saved, skew_join
+from catena.llm.common import Scratch, free_worker_caches, saved, skew_join
 from catena.llm.components import connected_components
 
 SEED = 42
 BITS = 64
 #: Distinct fingerprints under one key that are still compared in pairs.
 SMALL_BUCKET = 32
+#: Texts that a worker holds the shingles of at a time.
+ROWS = 256
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -85,11 +87,28 @@ def _ring(distance: int) -> list[list[int]]:
     return out
 
 
-def near_links(points: DataFrame, distance: int = 2, small: int = SMALL_BUCKET) -> DataFrame:
+def chain_within(diff: Column, budget: int, segments: int, chain: int) -> Column:
+    """The pigeonring test: from some segment on, each of the first chain lengths l has at most l budget / segments of diff's bits.
+
+    Two fingerprints within budget always pass it, whatever the chain.
+    """
+    cuts = [BITS * k // segments for k in range(segments + 1)]
+    bits = [F.bit_count(F.shiftrightunsigned(diff, cuts[k]).bitwiseAND((1 << cuts[k + 1] - cuts[k]) - 1)) for k in range(segments)]
+    starts = []
+    for k in range(segments):
+        total, ok = F.lit(0), F.lit(True)
+        for l in range(1, chain + 1):
+            total = total + bits[(k + l - 1) % segments]
+            ok &= total <= l * budget // segments
+        starts.append(ok)
+    return reduce(Column.__or__, starts)
+
+
+def near_links(points: DataFrame, distance: int = 2, small: int = SMALL_BUCKET, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """Links (a, b) between rows of points (rep long, fp long; fp distinct) that connect all within distance bits.
 
     Pairs in small buckets come out one by one, those of hot buckets as stars
-    that connect the same rows.
+    that connect the same rows. keep writes what is read more than once.
     """
     if distance != 2:
         raise ValueError("the way of hot buckets is for two bits")
@@ -99,7 +118,7 @@ def near_links(points: DataFrame, distance: int = 2, small: int = SMALL_BUCKET)
     pick = lambda at: F.element_at(F.array(*[F.lit(masks[at]).cast("long") for masks in ring]), F.col("start") + 1)
     keyed = keyed.withColumn("key", F.xxhash64("start", F.col("fp").bitwiseAND(pick(0))))
     counts = keyed.groupBy("key").count().where("count > 1").withColumnRenamed("count", "n")
-    dense = saved(skew_join(keyed, counts, "key"))
+    dense = keep(skew_join(keyed, counts, "key"))
 
     left = dense.where(F.col("n") <= small)
     right = left.select("key", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), F.col("start").alias("start2"))
@@ -129,56 +148,58 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2, id_co
     empty table gives an empty one. Other columns are not read.
     """
     fps = saved(fingerprints(docs, words, id_col, text_col))
-    points = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    points = saved(points)
-    found = connected_components(near_links(points, distance))
-    of = points.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    with Scratch(docs.sparkSession) as own:
+        points = own.saved(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+        found = connected_components(near_links(points, distance, keep=own.saved), keep=own.saved)
+        of = saved(points.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     joined = skew_join(fps, of, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 #: Near copies: words of a shingle, least Jaccard similarity of the shingle sets.
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+#: Bits that fingerprints of near copies may differ in, segments and chain of the pigeonring test before that, and the
+#: shingles that the smaller set must have for it. At a similarity of 0.8 a bit of the fingerprints differs with a chance
+#: of at most acos(0.8 / 0.9) / pi = 0.15, so the test loses one pair in 10^8 at the threshold and fewer above it.
+NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN, NEAR_LEAST = 28, 8, 4, 64
 #: Documents that the frequent shingles are taken from, how many of them must have one, and how many are kept; they decide the order of work, not the result.
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 50_000
-#: Documents that each member of a large bucket is compared with first, so that what they connect is not compared again.
-CENTRES = 8
 #: Members of a bucket that meet as many others in one task, about.
 TILE = 2048
 
 
-def sketch(text: bytes, words: int = NEAR_WORDS, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, bytes]:
-    """Prefix of the shingle set, and the set as sorted hashes.
+def shingle_set(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def prefix(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Prefix of a shingle set, as signed longs.
 
     Sets are ordered by how often frequent (sorted hashes, counts) has a
     shingle, then by hash. Two sets with a similarity of NEAR_SIMILARITY share
     at least that part of the larger one, so their prefixes, one longer than
     what each may lack, have a shingle in common.
     """
-    own = np.unique(shingle_hashes(text, words))
     if not len(own):
-        return own.view(np.int64), b""
+        return own.view(np.int64)
     order = own
     if frequent is not None and len(frequent[0]):
         at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
         order = own[np.lexsort((own, np.where(frequent[0][at] == own, frequent[1][at], 0)))]
-    return order[: prefix_length(len(own))].view(np.int64), own.tobytes()
+    return order[: prefix_length(len(own))].view(np.int64)
 
 
 def prefix_length(n: int) -> int:
     return n - math.ceil(n * NEAR_SIMILARITY - 1e-9) + 1
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if not len(x) or not len(y):
-        return 0.0
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+def alike(a: Column, b: Column) -> Column:
+    """Whether two sets, as arrays of longs, have a Jaccard similarity of NEAR_SIMILARITY: four ninths of both sizes in common."""
+    return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
 
 
-def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE) -> DataFrame:
+def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """(a, b, na, nb), a < b: every two documents of one bucket that found (node, component) does not connect, once for each such bucket.
 
     members has bucket, doc_id and size, the number of shingles; sizes too
@@ -186,12 +207,12 @@ def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE) ->
     component meet all, in salted tiles.
     """
     labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = saved(labelled.distinct())
+    labelled = keep(labelled.distinct())
     parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     sizes = parts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     tiles = lambda n: F.ceil(n / float(tile)).cast("int")
     sizes = sizes.select("bucket", F.col("most.component").alias("main"), tiles(F.col("n") - F.col("most.k")).alias("rows"), tiles(F.col("n")).alias("columns"))
-    dealt = saved(skew_join(labelled, sizes, "bucket"))
+    dealt = keep(skew_join(labelled, sizes, "bucket"))
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.where("component <> main").withColumn("row", place("rows")).withColumn("column", every("columns"))
@@ -219,66 +240,89 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["hash"].to_numpy(np.uint64), top["count"].to_numpy(np.int64)
 
 
+def hot_pairs(hot: DataFrame, fps: DataFrame) -> DataFrame:
+    """(a, b): each member of hot (bucket, doc_id, n) with two centres of its largest bucket.
+
+    One is the member nearest to the majority of the bucket's fingerprints, the
+    original of copies that resemble it more than one another; one any member.
+    """
+    largest = hot.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("most")).select("doc_id", "most.bucket").join(fps, "doc_id")
+    ones = [F.sum(F.shiftright("fp", k).bitwiseAND(1) * 2 - 1).alias(f"s{k}") for k in range(BITS)]
+    majority = largest.groupBy("bucket").agg(*ones)
+    majority = majority.select("bucket", reduce(Column.bitwiseOR, [F.shiftleft((F.col(f"s{k}") > 0).cast("long"), k) for k in range(BITS)]).alias("mid"))
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("mid")))
+    centres = skew_join(largest, majority, "bucket").groupBy("bucket").agg(F.min(F.struct(away, "doc_id")).alias("c0"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("c1"))
+    centres = centres.select("bucket", F.array_distinct(F.array("c0.doc_id", "c1.doc_id")).alias("centres"))
+    many = skew_join(largest, centres, "bucket").select("doc_id", F.explode("centres").alias("c"))
+    return many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component) of documents with near copies: shingles of five words, Jaccard similarity of 0.8 or more.
 
     By prefix filtering every such pair is found: sets in one order, frequent
     shingles last, share a shingle of their prefixes. Where a shingle has over
-    SMALL_BUCKET texts, each is compared with CENTRES of its largest bucket
+    SMALL_BUCKET texts, each is compared with two centres of its largest bucket
     first; then every two texts of a bucket that are not connected yet, unless
     their sizes or the shingles that their prefixes share are too few for the
-    similarity. Whole shingle sets decide. Null, empty and blank texts
+    similarity. Pairs go through the pigeonring test on their fingerprints and
+    the whole distance; whole shingle sets decide. Null, empty and blank texts
     are near nothing; texts of fewer than five words near those of the same
     words. Rows without an id have no part; those that share an id count as the
     first of them.
     """
-
+    spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = frequent_shingles(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker_caches()
         for batch in batches:
-            made = [sketch(t.as_py() or b"", frequent=frequent) for t in batch.column(1).cast(pa.binary())]
-            sizes = pa.array([len(s) // 8 for _, s in made], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([x for x, _ in made], pa.list_(pa.int64()))], ["doc_id", "size", "prefix"])
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                sets = [shingle_set(t.as_py() or b"") for t in part.column(1).cast(pa.binary())]
+                sizes, fps = pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(fingerprint, sets)), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, pa.array([prefix(x, frequent) for x in sets], pa.list_(pa.int64()))], ["doc_id", "size", "fp", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t.as_py() or b"")[1] for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "shingles"])
-
-    sketches = saved(rows.mapInArrow(run, "doc_id long, size int, prefix array<long>"))
-    keyed = sketches.select("doc_id", "size", F.explode("prefix").alias("bucket"))
-    counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = saved(skew_join(keyed, counts, "bucket"))
-    hot = members.where(F.col("n") > SMALL_BUCKET)
-    centres = hot.groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in range(CENTRES)])
-    centres = centres.select("bucket", F.array(*[F.col(f"c{k}.doc_id") for k in range(CENTRES)]).alias("centres"))
-    largest = hot.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("most")).select("doc_id", "most.bucket")
-    many = skew_join(largest, centres, "bucket").select("doc_id", F.explode("centres").alias("c"))
-    many = many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
-
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) >= NEAR_SIMILARITY for x, y in zip(a, b)], dtype=bool)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        links = saved(pairs.distinct())
-        # Whole sets take more room than texts, so they are made again for the texts in pairs, not kept for all.
-        own = rows.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-        own = saved(own.mapInArrow(whole, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-        found = skew_join(links, own.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
-        found = skew_join(found, own.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
-        return saved(found.where(alike("xa", "xb")).select("a", "b"))
-
-    first = near(many)
-    rest = unconnected_pairs(members.select("bucket", "doc_id", "size"), connected_components(first)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    # What two sets share lies in both prefixes or behind one of them.
-    behind = F.greatest(*[F.ceil(F.col(n) * NEAR_SIMILARITY - 1e-9) - 1 for n in ("na", "nb")])
-    needed = (F.col("na") + F.col("nb")) * (NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) - 1e-6
-    rest = near(rest.where(F.col("shared") + behind >= needed).select("a", "b"))
-    return connected_components(first.unionByName(rest))
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                sets = [shingle_set(t.as_py() or b"").view(np.int64) for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    with Scratch(spark) as own:
+        with Scratch(spark) as first_part:
+            sketches = first_part.saved(rows.mapInArrow(run, "doc_id long, size int, fp long, prefix array<long>"))
+            marks = own.saved(sketches.groupBy("doc_id").agg(F.min(F.struct("size", "fp")).alias("m")).select("doc_id", "m.size", "m.fp"))
+            keyed = sketches.select("doc_id", "size", F.explode("prefix").alias("bucket"))
+            counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            members = own.saved(skew_join(keyed, counts, "bucket"))
+
+        def near(pairs: DataFrame) -> DataFrame:
+            with Scratch(spark) as part:
+                of = lambda end: marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"n{end}"), F.col("fp").alias(f"f{end}"))
+                links = skew_join(skew_join(pairs.distinct(), of("a"), "a"), of("b"), "b")
+                diff = F.col("fa").bitwiseXOR(F.col("fb"))
+                close = chain_within(diff, NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN) & (F.bit_count(diff) <= NEAR_BITS)
+                links = part.saved(links.where((F.least("na", "nb") < NEAR_LEAST) | close).select("a", "b"))
+                # Whole sets take more room than texts, so they are made again for the texts in pairs, not kept for all.
+                sets = rows.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+                sets = part.saved(sets.mapInArrow(whole, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+                found = skew_join(links, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
+                found = skew_join(found, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+                return own.saved(found.where(alike(F.col("xa"), F.col("xb"))).select("a", "b"))
+
+        first = near(hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp")))
+        with Scratch(spark) as part:
+            joined = connected_components(first, keep=part.saved)
+            rest = unconnected_pairs(members.select("bucket", "doc_id", "size"), joined, keep=part.saved).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+            # What two sets share lies in both prefixes or behind one of them.
+            behind = F.greatest(*[F.ceil(F.col(n) * NEAR_SIMILARITY - 1e-9) - 1 for n in ("na", "nb")])
+            needed = (F.col("na") + F.col("nb")) * (NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) - 1e-6
+            rest = part.saved(rest.where(F.col("shared") + behind >= needed).select("a", "b"))
+            second = near(rest)
+        return connected_components(first.unionByName(second))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
