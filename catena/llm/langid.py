@@ -10,7 +10,7 @@ corrected for each filter's false positives, decide.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +27,11 @@ BITS = 20
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77)
 #: Share of a language's n-grams, by frequency, that its filter has to cover.
 COVER = 0.95
-#: The bound of the training sample: documents of each language, and bytes of one (longer ones aren't sampled).
+#: The bound of the training sample: documents of each language, of any length.
 SAMPLE_DOCS = 1200
-SAMPLE_BYTES = 1 << 16
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and other numbers, which Python counts as word characters.
+_WORD = re.compile(r"[^\W\d_]+")
 _PAD = b" " * N
 
 
@@ -39,6 +39,11 @@ def _normal(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a category L."""
+    return any(any(map(str.isalpha, m.group())) for m in _WORD.finditer(text))
+
+
 def _grams(data: bytes) -> np.ndarray:
     d = np.frombuffer(data, np.uint8).astype(np.uint32)
     out = d[: -N + 1].copy()
@@ -47,6 +52,29 @@ def _grams(data: bytes) -> np.ndarray:
     return out
 
 
+class Counts:
+    """Texts counted one by one: how many, and their distinct n-grams with counts, which are all that is held."""
+
+    def __init__(self) -> None:
+        self.texts, self.grams, self.counts = 0, np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str) -> None:
+        self.texts += 1
+        self.held.append(_grams(_PAD + _normal(text) + _PAD))
+        self.size += len(self.held[-1])
+        if self.size > 1 << 22:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.held:
+            own, often = np.unique(np.concatenate(self.held), return_counts=True)
+            both, where = np.unique(np.concatenate((self.grams, own)), return_inverse=True)
+            self.counts = np.bincount(where, np.concatenate((self.counts, often)), len(both)).astype(np.int64)
+            self.grams, self.held, self.size = both, [], 0
+
+
 @dataclass
 class Model:
     """languages, the most frequent in training first; masks[w][p] holds 64 languages' bits of position p; fp, false-positive rates."""
@@ -56,13 +84,19 @@ class Model:
     fp: np.ndarray
 
     @classmethod
-    def train(cls, texts: dict[str, list[str]]) -> Model:
-        languages = sorted((k for k in texts if texts[k]), key=lambda k: (-len(texts[k]), k))
+    def train(cls, texts: Iterable[tuple[str, str]]) -> Model:
+        """Of (language, text), read once."""
+        seen: dict[str, Counts] = {}
+        for language, text in texts:
+            seen.setdefault(language, Counts()).add(text)
+        for own in seen.values():
+            own.merge()
+        languages = sorted(seen, key=lambda k: (-seen[k].texts, k))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
         masks = np.zeros((max(1, -(-len(languages) // 64)), 1 << BITS), kind)
         fill = np.zeros(len(languages))
         for k, language in enumerate(languages):
-            grams, counts = np.unique(_grams(_PAD + _PAD.join(map(_normal, texts[language])) + _PAD), return_counts=True)
+            grams, counts = seen[language].grams, seen[language].counts
             order = np.argsort(-counts, kind="stable")
             need = np.searchsorted(np.cumsum(counts[order]), COVER * counts.sum()) + 1
             bit = kind(1 << k % 64)
@@ -101,7 +135,7 @@ class Model:
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         if not self.languages:
             return out
-        some = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+        some = [k for k, t in enumerate(texts) if t and has_letter(t)]
         a = 0
         while a < len(some):
             part, size = [], 0
@@ -123,18 +157,21 @@ class Model:
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCS) -> Model:
     """Train on about sample documents of each label, drawn by a hash of the id from the rows where learn holds."""
     rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
-    rows = rows.where(F.octet_length("t") <= SAMPLE_BYTES)
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
-        return Model.train({})
+        return Model.train([])
     draw = F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(sample / n))])
-    texts: dict[str, list[str]] = {k: [] for k in sorted(counts)}
-    # About sample rows of a label are expected; of labels with many alike hashes (one id again and again) no more than twice as many are taken.
-    for r in rows.where(draw < rate[F.col("l")]).select("l", "t").toLocalIterator():
-        if len(texts[r["l"]]) < 2 * sample:
-            texts[r["l"]].append(r["t"])
-    return Model.train({k: sorted(v) for k, v in texts.items()})
+    taken = dict.fromkeys(counts, 0)
+
+    def drawn() -> Iterator[tuple[str, str]]:
+        # About sample rows of a label are expected; of labels with many alike hashes (one id again and again) no more than twice as many are taken.
+        for r in rows.where(draw < rate[F.col("l")]).select("l", "t").toLocalIterator():
+            taken[r["l"]] += 1
+            if taken[r["l"]] <= 2 * sample:
+                yield r["l"], r["t"]
+
+    return Model.train(drawn())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

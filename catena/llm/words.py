@@ -1,8 +1,10 @@
 """Words of many texts at once, as numpy arrays: boundaries and 64-bit hashes.
 
-A word is a run of bytes other than ASCII white space. Hashes of words and of
-windows of words are polynomials over cumulative sums modulo 2^64, so that a
-window of any length costs one subtraction, and are mixed at the end.
+A word is a run of bytes other than ASCII white space. Its hash takes eight
+bytes at a time and mixes in between, so that words of up to eight bytes and one
+length never collide; very long words are hashed by XXH3. Hashes of windows are
+polynomials of those over cumulative sums modulo 2^64, so that a window of any
+length costs one subtraction, and are mixed at the end.
 """
 
 from __future__ import annotations
@@ -10,16 +12,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.Generator(np.random.PCG64(20240117)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WINDOW_BASE = 0xD6E8FEB86659FD93
+#: The low bytes of eight, by their number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LENGTH, _STEP = _U(0x9E3779B97F4A7C15), _U(0xA0761D6478BD642F)
+#: Bytes of the longest word that is hashed along with the others.
+LONG_WORD = 256
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
+def power(base: int, n: int, inverse: bool = False) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, or of its inverse."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
@@ -43,7 +50,8 @@ class Words:
     """The words of a list of texts: begin and end bytes in data, hash, and the words before each text."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+        raw = b" " + b" ".join(texts) + b" " * 9
+        data = np.frombuffer(raw, np.uint8)
         space = _SPACE[data]
         cut = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.begin, self.end = cut[0::2], cut[1::2]
@@ -51,17 +59,21 @@ class Words:
         #: Word index at which each text begins; one more at the end.
         self.first = np.searchsorted(self.begin, offsets)
         self.count = np.diff(self.first)
-        n = len(data)
-        sums = np.empty(n + 1, _U)
-        sums[0] = 0
-        np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-        self._sums, self._inverse = sums, _power(_BASE, n + 1, True)
-        self.hash = mix((sums[self.end] - sums[self.begin]) * self._inverse[self.begin])
-
-    def prefixes(self, size: int) -> np.ndarray:
-        """Hashes of each word's first size bytes, or of the whole word."""
-        end = np.minimum(self.begin + size, self.end)
-        return mix((self._sums[end] - self._sums[self.begin]) * self._inverse[self.begin])
+        self.data = data
+        #: Eight bytes from each place on.
+        self._eight = np.ndarray(len(data) - 7, "<u8", raw, strides=(1,))
+        size = self.end - self.begin
+        self.hash = mix((self._eight[self.begin] & _LOW[np.minimum(size, 8)]) ^ (size.astype(_U) * _LENGTH))
+        more = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        at = 8
+        while len(more):
+            left = size[more] - at
+            part = self._eight[self.begin[more] + at] & _LOW[np.minimum(left, 8)]
+            self.hash[more] = mix(self.hash[more] * _STEP + part)
+            more = more[left > 8]
+            at += 8
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            self.hash[k] = xxhash.xxh3_64_intdigest(raw[self.begin[k] : self.end[k]])
 
     def of_text(self) -> np.ndarray:
         """The text of each word."""
@@ -72,8 +84,8 @@ class Words:
         n = len(self.hash)
         sums = np.empty(n + 1, _U)
         sums[0] = 0
-        np.cumsum((mix(self.hash ^ _U(salt)) if salt else self.hash) * _power(_WINDOW_BASE, n), out=sums[1:])
-        return mix((sums[at + size] - sums[at]) * _power(_WINDOW_BASE, n + 1, True)[at])
+        np.cumsum((mix(self.hash ^ _U(salt)) if salt else self.hash) * power(_WINDOW_BASE, n), out=sums[1:])
+        return mix((sums[at + size] - sums[at]) * power(_WINDOW_BASE, n + 1, True)[at])
 
 
 def chunks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, Words]]:

@@ -14,7 +14,7 @@ def text(rng, lang, n):
 
 def test_brute_force_counts():
     rng = random.Random(1)
-    model = Model.train({k: [text(rng, k, 200) for _ in range(5)] for k in SYLLABLES})
+    model = Model.train((k, text(rng, k, 200)) for k in SYLLABLES for _ in range(5))
     for t in [b"x", "thaing schung ÉRE".lower().encode(), text(rng, "aa", 50).encode()]:
         total, seen = model.counts([t, b"other", t])
         data = t + b"    " + b"    "
@@ -31,7 +31,7 @@ def test_brute_force_counts():
 def test_held_out_and_cases(spark):
     rng = random.Random(2)
     rows = [(k, text(rng, lang, rng.choice([6, 50, 2000])), lang) for k in range(300) for lang in [rng.choice(list(SYLLABLES))]]
-    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 34 --", "bb"), (1003, "日本語", None), (1004, rows[0][1], None), (1004, rows[0][1], None), (None, rows[0][1], None)]
+    rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 34 --", "bb"), (1005, "\u00bd \u00b2 \u2167 \u2460", None), (1006, text(rng, "cc", 60_000), "cc"), (1003, "日本語", None), (1004, rows[0][1], None), (1004, rows[0][1], None), (None, rows[0][1], None)]
     df = spark.createDataFrame([(*r, 0.5, "x") for r in rows], "doc_id long, text string, lang string, score double, _lid0 string")
     model = fit(df, train_rows())
     out = identify(df, model)
@@ -39,7 +39,8 @@ def test_held_out_and_cases(spark):
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in out.collect()}
     held = [r for r in rows[:300] if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     assert len(held) > 50 and sum(got[r[0], r[1]][0] == r[2] for r in held) >= 0.98 * len(held)
-    assert [got[k][0] for k in ((1000, None), (1001, ""), (1002, "12 34 --"))] == ["und"] * 3
+    assert [got[k][0] for k in ((1000, None), (1001, ""), (1002, "12 34 --"), (1005, "\u00bd \u00b2 \u2167 \u2460"))] == ["und"] * 4
+    assert next(v for (i, _), v in got.items() if i == 1006)[0] == "cc"
     assert got[1003, "日本語"][0] in SYLLABLES and got[1004, rows[0][1]] == got[None, rows[0][1]]
     assert all(0 <= s <= 1 for _, s in got.values())
     assert identify(df.limit(0), model).count() == 0

@@ -83,3 +83,15 @@ def test_remove_passages_keeps_columns(spark):
     assert out.schema == df.schema
     got = sorted(map(tuple, out.collect()))
     assert got == [(1, "a\n" + text, "en", len(text) + 2, 1.5), (2, "z", None, 1, None), (3, "two\n words", "x", 10, 2.0), (4, "", "x", 0, 2.0)]
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    from catena.llm.words import Words
+
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len(set(Words([f"{a} {b} {a[:200]} {b[:200]} x\0 x {'y' * 8} {'y' * 9}".encode()]).hash.tolist())) == 8
+    words = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([a, *words])), (2, " ".join([b, *words])), (3, " ".join([b, *words, "end"]))]
+    got = {r.id: (r.n_words, r.n_removed) for r in S.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (20, 0), 2: (20, 0), 3: (21, 20)}
