@@ -45,7 +45,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
-        F.size("turns").alias("n_turns"),
+        F.size("turns").cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
@@ -59,7 +59,7 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), g AS (
-  SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
+  SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
          CAST(sum(length(url_encode(role)) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 24) AS BIGINT) AS formatted_chars
