@@ -1,10 +1,11 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Each round asks for less than the last one: a document whose length, or whose
-length and prefix hash, nobody shares is unique and its content is not hashed.
-Only the rest is hashed whole. The surviving (length, prefix) keys reach the
-scan as a bitmap of fixed size: a hash collision there costs one hash too many,
-never a wrong result. All of it is DataFrame functions.
+Each round asks for less than the last one. A document whose length nobody
+shares is unique; of the others, one whose length and prefix hash nobody shares
+is; only what is left is hashed whole. What a round leaves over reaches the
+next scan as a bitmap, sized from a count of its keys up to a fixed bound: a
+hash collision there costs one hash too many, never a wrong result. All of it
+is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,28 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import skew_join
+from catena.llm.common import Scratch, saved, skew_join
 
 #: Characters under the prefix hash.
 PREFIX_CHARS = 64
-#: Bits of the bitmap of surviving keys: 2^23 bits are 256 rows of 4 KiB, 1 MiB whatever the input.
-BITMAP_BITS = 1 << 23
-_ROW_BITS = 32768
+#: Bits of a bitmap for each key, and bits of the smallest and the largest bitmap (16 MiB).
+BITS_A_KEY = 16
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
+#: Bits in a row of a bitmap, as bitmap_construct_agg makes them.
+_ROW_BITS = 1 << 15
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(BITMAP_BITS))
+class _Survivors:
+    """Keys that more than one row has, as a bitmap with one row for each 32,768 slots."""
 
+    def __init__(self, keys: DataFrame, names: list[str], own: Scratch):
+        repeated = keys.groupBy(*names).count().where("count > 1").select(F.xxhash64(*names).alias("_key"))
+        repeated = own.saved(repeated)
+        self.names = names
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, repeated.count()) - 1).bit_length()))
+        rows = repeated.select(F.shiftright(self._slot(F.col("_key")), 15).alias("_bucket"), self._slot(F.col("_key")).bitwiseAND(_ROW_BITS - 1).alias("_bit"))
+        self.rows = saved(rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")).coalesce(1))  # 16 MiB at most
 
-def _survivors(keys: DataFrame) -> DataFrame:
-    """Keys held by more than one row, as at most 256 bitmap rows (_bucket, _bits)."""
-    repeated = keys.groupBy("_len", "_prefix").count().where("count > 1")
-    slot = _slot(F.xxhash64("_len", "_prefix"))
-    return (
-        repeated.select(F.shiftright(slot, 15).alias("_bucket"), slot.bitwiseAND(_ROW_BITS - 1).alias("_bit"))
-        .groupBy("_bucket")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    )
+    def _slot(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.bits))
+
+    def mark(self, rows: DataFrame, into: str) -> DataFrame:
+        """rows with a boolean: whether the row's key is in the bitmap."""
+        slot = self._slot(F.xxhash64(*self.names))
+        place = slot.bitwiseAND(_ROW_BITS - 1).cast("int")
+        joined = rows.withColumn("_bucket", F.shiftright(slot, 15)).withColumn("_bit", place).join(F.broadcast(self.rows), "_bucket", "left")
+        byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+        alive = F.coalesce(F.expr("cast(1 as int) << cast(_bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
+        return joined.withColumn(into, alive).drop("_bucket", "_bit", "_bits")
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,16 +60,14 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = docs.drop("keep_id", "group_size", "kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_len", F.octet_length(text)).withColumn("_prefix", F.xxhash64(F.substring(text, 1, PREFIX_CHARS)))
-    slot = _slot(F.xxhash64("_len", "_prefix"))
-    rounds = (
-        keyed.withColumn("_bucket", F.shiftright(slot, 15))
-        .withColumn("_bit", slot.bitwiseAND(_ROW_BITS - 1))
-        .join(F.broadcast(_survivors(keyed.select("_len", "_prefix"))), "_bucket", "left")
-    )
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    alive = F.coalesce(F.expr("_bits is not null") & (F.expr("cast(1 as int) << cast(_bit % 8 as int)").bitwiseAND(byte) != 0), F.lit(False))
-    full = rounds.withColumn("_full", F.when(alive, F.sha2(text, 256))).drop("_bucket", "_bit", "_bits", "_prefix", "_len")
+    prefix = F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
+    with Scratch(docs.sparkSession) as own:
+        keyed = docs.withColumn("_len", F.octet_length(text))
+        lengths = _Survivors(keyed.select("_len"), ["_len"], own)
+        second = lengths.mark(keyed, "_long")
+        prefixes = _Survivors(second.where("_long").select("_len", prefix.alias("_prefix")), ["_len", "_prefix"], own)
+    third = prefixes.mark(second.withColumn("_prefix", F.when(F.col("_long"), prefix)), "_alive")
+    full = third.withColumn("_full", F.when(F.col("_long") & F.col("_alive"), F.sha2(text, 256))).drop("_len", "_long", "_prefix", "_alive")
 
     alone = full.where("_full is null").select("*", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     candidates = full.where("_full is not null")
