@@ -79,6 +79,41 @@ class Scratch:
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bits of a bitmap for each key, and bits of the smallest and the largest bitmap (16 MiB).
+BITS_A_KEY = 16
+LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
+#: Bits in a row of a bitmap, as bitmap_construct_agg makes them.
+ROW_BITS = 1 << 15
+
+
+class KeyBitmap:
+    """Keys as a bitmap, sized from their count up to a fixed bound, with one row for each 32,768 slots; broadcast, as it is 16 MiB at most.
+
+    keys are distinct; their columns are the key. What is in the bitmap may be
+    no key, by a collision, but no key is missing.
+    """
+
+    def __init__(self, keys: DataFrame, own: Scratch):
+        self.names = keys.columns
+        marked = own.saved(keys.select(F.xxhash64(*self.names).alias("_key")))
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, marked.count()) - 1).bit_length()))
+        slot = self._slot(F.col("_key"))
+        rows = marked.select(F.shiftright(slot, 15).alias("_bucket"), slot.bitwiseAND(ROW_BITS - 1).alias("_bit"))
+        self.rows = saved(rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")).coalesce(1))
+
+    def _slot(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.bits))
+
+    def mark(self, rows: DataFrame, into: str) -> DataFrame:
+        """rows with a boolean: whether the row's key is in the bitmap."""
+        slot = self._slot(F.xxhash64(*self.names))
+        place = slot.bitwiseAND(ROW_BITS - 1).cast("int")
+        joined = rows.withColumn("_bucket", F.shiftright(slot, 15)).withColumn("_bit", place).join(F.broadcast(self.rows), "_bucket", "left")
+        byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+        alive = F.coalesce(F.expr("cast(1 as int) << cast(_bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
+        return joined.withColumn(into, alive).drop("_bucket", "_bit", "_bits")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -10,42 +10,17 @@ is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import Scratch, saved, skew_join
+from catena.llm.common import KeyBitmap, Scratch, skew_join
 
 #: Characters under the prefix hash.
 PREFIX_CHARS = 64
-#: Bits of a bitmap for each key, and bits of the smallest and the largest bitmap (16 MiB).
-BITS_A_KEY = 16
-LEAST_BITS, MOST_BITS = 1 << 15, 1 << 27
-#: Bits in a row of a bitmap, as bitmap_construct_agg makes them.
-_ROW_BITS = 1 << 15
 
 
-class _Survivors:
-    """Keys that more than one row has, as a bitmap with one row for each 32,768 slots."""
-
-    def __init__(self, keys: DataFrame, names: list[str], own: Scratch):
-        repeated = keys.groupBy(*names).count().where("count > 1").select(F.xxhash64(*names).alias("_key"))
-        repeated = own.saved(repeated)
-        self.names = names
-        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * max(1, repeated.count()) - 1).bit_length()))
-        rows = repeated.select(F.shiftright(self._slot(F.col("_key")), 15).alias("_bucket"), self._slot(F.col("_key")).bitwiseAND(_ROW_BITS - 1).alias("_bit"))
-        self.rows = saved(rows.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")).coalesce(1))  # 16 MiB at most
-
-    def _slot(self, key: Column) -> Column:
-        return F.pmod(key, F.lit(self.bits))
-
-    def mark(self, rows: DataFrame, into: str) -> DataFrame:
-        """rows with a boolean: whether the row's key is in the bitmap."""
-        slot = self._slot(F.xxhash64(*self.names))
-        place = slot.bitwiseAND(_ROW_BITS - 1).cast("int")
-        joined = rows.withColumn("_bucket", F.shiftright(slot, 15)).withColumn("_bit", place).join(F.broadcast(self.rows), "_bucket", "left")
-        byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
-        alive = F.coalesce(F.expr("cast(1 as int) << cast(_bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
-        return joined.withColumn(into, alive).drop("_bucket", "_bit", "_bits")
+def _repeated(keys: DataFrame) -> DataFrame:
+    return keys.groupBy(*keys.columns).count().where("count > 1").drop("count")
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,9 +38,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prefix = F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
     with Scratch(docs.sparkSession) as own:
         keyed = docs.withColumn("_len", F.octet_length(text))
-        lengths = _Survivors(keyed.select("_len"), ["_len"], own)
+        lengths = KeyBitmap(_repeated(keyed.select("_len")), own)
         second = lengths.mark(keyed, "_long")
-        prefixes = _Survivors(second.where("_long").select("_len", prefix.alias("_prefix")), ["_len", "_prefix"], own)
+        prefixes = KeyBitmap(_repeated(second.where("_long").select("_len", prefix.alias("_prefix"))), own)
     third = prefixes.mark(second.withColumn("_prefix", F.when(F.col("_long"), prefix)), "_alive")
     full = third.withColumn("_full", F.when(F.col("_long") & F.col("_alive"), F.sha2(text, 256))).drop("_len", "_long", "_prefix", "_alive")
 

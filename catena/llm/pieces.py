@@ -19,7 +19,7 @@ import numpy as np
 from catena.llm.common import worker_cache
 
 #: Pieces that a worker keeps in each of two generations.
-CACHE = 400_000
+CACHE = 250_000
 #: Characters of the longest piece that is kept; of longer ones' ids nothing is.
 LONG = 64
 _INNER = re.compile(r"(?<=\S) (?=\S)")
@@ -106,7 +106,8 @@ class PieceEncoder:
         if not text:
             return b""
         if len(self.known) >= self.cache:
-            self.known = _Known(self._make, dict(self.known))
+            self.known.before = {}
+            self.known = _Known(self._make, self.known)
         return b"".join(map(self.known.__getitem__, split_pieces(text, self.lead)))
 
 

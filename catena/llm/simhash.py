@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import Scratch, free_worker_caches, saved, skew_join
+from catena.llm.common import KeyBitmap, Scratch, free_worker_caches, saved, skew_join
 from catena.llm.components import connected_components
 
 SEED = 42
@@ -162,6 +162,8 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: shingles that the smaller set must have for it. At a similarity of 0.8 a bit of the fingerprints differs with a chance
 #: of at most acos(0.8 / 0.9) / pi = 0.15, so the test loses one pair in 10^8 at the threshold and fewer above it.
 NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN, NEAR_LEAST = 28, 8, 4, 64
+#: Bits that differ, at most, between those of a bucket that are compared first; this decides the order of work, not the result.
+NEAR_FIRST = 8
 #: Documents that the frequent shingles are taken from, how many of them must have one, and how many are kept; they decide the order of work, not the result.
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 50_000
 #: Members of a bucket that meet as many others in one task, about.
@@ -199,14 +201,27 @@ def alike(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
 
 
-def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE, keep: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
-    """(a, b, na, nb), a < b: every two documents of one bucket that found (node, component) does not connect, once for each such bucket.
+def index_length(n: Column) -> Column:
+    """Shingles of its prefix that a set of n needs to be found by sets that are no smaller: what it shares with those is 8/9 of it at least."""
+    return n - F.floor((n * 8 + 8) / 9).cast("int") + 1
 
-    members has bucket, doc_id and size, the number of shingles; sizes too
-    different for NEAR_SIMILARITY don't meet. In a bucket, those outside its largest
-    component meet all, in salted tiles.
+
+def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE, keep: Callable[[DataFrame], DataFrame] = saved, fps: DataFrame | None = None, bits: int = BITS, least: int = 0) -> DataFrame:
+    """(a, b), a < b: every two documents of one bucket that found (node, component) does not connect and that may be alike.
+
+    members has bucket, doc_id, size, the number of shingles, and pos, the
+    bucket's place in the prefix (1 if there is no such column). Two don't meet
+    whose sizes differ too much for NEAR_SIMILARITY, if the bucket is not in the
+    smaller one's index_length, or if it is too far behind in one of them to be
+    the first that they share. In a bucket, those outside its largest component
+    meet all, in salted tiles. A pair comes once for each bucket where it meets.
+    With fps (doc_id, fp) also those don't whose fingerprints differ in over bits
+    bits, if the smaller set has least shingles at least.
     """
+    if "pos" not in members.columns:
+        members = members.withColumn("pos", F.lit(1))
     labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = labelled.join(fps, "doc_id") if fps is not None else labelled.withColumn("fp", F.lit(0).cast("long"))
     labelled = keep(labelled.distinct())
     parts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     sizes = parts.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -216,13 +231,17 @@ def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE, ke
     place = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.where("component <> main").withColumn("row", place("rows")).withColumn("column", every("columns"))
-    left = left.select("bucket", "row", "column", F.col("doc_id").alias("x"), F.col("size").alias("nx"), F.col("component").alias("cx"))
+    left = left.select("bucket", "row", "column", F.col("doc_id").alias("x"), F.col("size").alias("nx"), F.col("pos").alias("px"), F.col("fp").alias("fx"), F.col("component").alias("cx"))
     right = dealt.withColumn("column", place("columns")).withColumn("row", every("rows"))
-    right = right.select("bucket", "row", "column", "main", F.col("doc_id").alias("y"), F.col("size").alias("ny"), F.col("component").alias("cy"))
-    met = left.join(right, ["bucket", "row", "column"]).where("cx <> cy and (cy = main or x < y)")
-    met = met.where(F.least("nx", "ny") >= F.greatest("nx", "ny") * NEAR_SIMILARITY - 1e-9)
-    first = F.col("x") < F.col("y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    right = right.select("bucket", "row", "column", "main", F.col("doc_id").alias("y"), F.col("size").alias("ny"), F.col("pos").alias("py"), F.col("fp").alias("fy"), F.col("component").alias("cy"))
+    small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
+    first = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    listed = F.when(first, F.col("px") <= index_length(F.col("nx"))).otherwise(F.col("py") <= index_length(F.col("ny")))
+    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
+    apart = F.bit_count(F.col("fx").bitwiseXOR(F.col("fy")))
+    may = (small * 5 >= large * 4) & ((apart <= bits) | (small < least)) & listed & (most * 9 >= (F.col("nx") + F.col("ny")) * 4)
+    met = left.join(right, ["bucket", "row", "column"]).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -241,18 +260,18 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hot_pairs(hot: DataFrame, fps: DataFrame) -> DataFrame:
-    """(a, b): each member of hot (bucket, doc_id, n) with two centres of its largest bucket.
+    """(a, b): each member of hot (bucket, doc_id, n) with some centres of its largest bucket.
 
     One is the member nearest to the majority of the bucket's fingerprints, the
-    original of copies that resemble it more than one another; one any member.
+    original of copies that resemble it more than one another; three are any.
     """
     largest = hot.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("most")).select("doc_id", "most.bucket").join(fps, "doc_id")
     ones = [F.sum(F.shiftright("fp", k).bitwiseAND(1) * 2 - 1).alias(f"s{k}") for k in range(BITS)]
     majority = largest.groupBy("bucket").agg(*ones)
     majority = majority.select("bucket", reduce(Column.bitwiseOR, [F.shiftleft((F.col(f"s{k}") > 0).cast("long"), k) for k in range(BITS)]).alias("mid"))
     away = F.bit_count(F.col("fp").bitwiseXOR(F.col("mid")))
-    centres = skew_join(largest, majority, "bucket").groupBy("bucket").agg(F.min(F.struct(away, "doc_id")).alias("c0"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).alias("c1"))
-    centres = centres.select("bucket", F.array_distinct(F.array("c0.doc_id", "c1.doc_id")).alias("centres"))
+    centres = skew_join(largest, majority, "bucket").groupBy("bucket").agg(F.min(F.struct(away, "doc_id")).alias("c0"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in (1, 2, 3)])
+    centres = centres.select("bucket", F.array_distinct(F.array(*[f"c{k}.doc_id" for k in range(4)])).alias("centres"))
     many = skew_join(largest, centres, "bucket").select("doc_id", F.explode("centres").alias("c"))
     return many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
 
@@ -262,10 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     By prefix filtering every such pair is found: sets in one order, frequent
     shingles last, share a shingle of their prefixes. Where a shingle has over
-    SMALL_BUCKET texts, each is compared with two centres of its largest bucket
+    SMALL_BUCKET texts, each is compared with some centres of its largest bucket
     first; then every two texts of a bucket that are not connected yet, unless
-    their sizes or the shingles that their prefixes share are too few for the
-    similarity. Pairs go through the pigeonring test on their fingerprints and
+    their sizes or the shingle's places in their prefixes rule them out. Pairs go through the pigeonring test on their fingerprints and
     the whole distance; whole shingle sets decide. Null, empty and blank texts
     are near nothing; texts of fewer than five words near those of the same
     words. Rows without an id have no part; those that share an id count as the
@@ -292,37 +310,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     with Scratch(spark) as own:
-        with Scratch(spark) as first_part:
-            sketches = first_part.saved(rows.mapInArrow(run, "doc_id long, size int, fp long, prefix array<long>"))
-            marks = own.saved(sketches.groupBy("doc_id").agg(F.min(F.struct("size", "fp")).alias("m")).select("doc_id", "m.size", "m.fp"))
-            keyed = sketches.select("doc_id", "size", F.explode("prefix").alias("bucket"))
-            counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            members = own.saved(skew_join(keyed, counts, "bucket"))
+        sketches = own.saved(rows.mapInArrow(run, "doc_id long, size int, fp long, prefix array<long>"))
+        marks = own.saved(sketches.groupBy("doc_id").agg(F.min(F.struct("size", "fp")).alias("m")).select("doc_id", "m.size", "m.fp"))
+        keyed = sketches.select("doc_id", "size", F.posexplode("prefix").alias("pos", "bucket")).withColumn("pos", F.col("pos") + 1)
+        listed = F.max(F.col("pos") <= index_length(F.col("size")))
+        counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), listed.alias("listed")).where("n > 1 and listed").drop("listed")
+        members = own.saved(skew_join(keyed, counts, "bucket"))
+
+        def of(table: DataFrame, column: str, end: str, into: str) -> DataFrame:
+            return table.select(F.col("doc_id").alias(end), F.col(column).alias(into))
+
+        def picked(table: DataFrame, ids: KeyBitmap, wanted: DataFrame) -> DataFrame:
+            return ids.mark(table, "_in").where("_in").drop("_in").join(wanted, "doc_id", "left_semi")
 
         def near(pairs: DataFrame) -> DataFrame:
             with Scratch(spark) as part:
-                of = lambda end: marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"n{end}"), F.col("fp").alias(f"f{end}"))
-                links = skew_join(skew_join(pairs.distinct(), of("a"), "a"), of("b"), "b")
+                sized = lambda end: marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"n{end}"), F.col("fp").alias(f"f{end}"))
+                links = skew_join(skew_join(pairs.distinct(), sized("a"), "a"), sized("b"), "b")
                 diff = F.col("fa").bitwiseXOR(F.col("fb"))
                 close = chain_within(diff, NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN) & (F.bit_count(diff) <= NEAR_BITS)
-                links = part.saved(links.where((F.least("na", "nb") < NEAR_LEAST) | close).select("a", "b"))
+                links = part.saved(links.where((F.least("na", "nb") < NEAR_LEAST) | close).select("a", "b", "na", "nb"))
+                wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+                prefixes = picked(sketches.select("doc_id", "prefix"), KeyBitmap(wanted, part), wanted).groupBy("doc_id").agg(F.min("prefix").alias("prefix"))
+                both = skew_join(skew_join(links, of(prefixes, "prefix", "a", "pa"), "a"), of(prefixes, "prefix", "b", "pb"), "b")
+                # What two sets share lies in both prefixes or behind one of them.
+                behind = F.ceil(F.greatest("na", "nb") * NEAR_SIMILARITY - 1e-9) - 1
+                links = part.saved(both.where((F.size(F.array_intersect("pa", "pb")) + behind) * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"))
+                wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
                 # Whole sets take more room than texts, so they are made again for the texts in pairs, not kept for all.
-                sets = rows.join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+                sets = picked(rows, KeyBitmap(wanted, part), wanted)
                 sets = part.saved(sets.mapInArrow(whole, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-                found = skew_join(links, sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a")
-                found = skew_join(found, sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+                found = skew_join(links, of(sets, "shingles", "a", "xa"), "a")
+                found = skew_join(found, of(sets, "shingles", "b", "xb"), "b")
                 return own.saved(found.where(alike(F.col("xa"), F.col("xb"))).select("a", "b"))
 
-        first = near(hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp")))
-        with Scratch(spark) as part:
-            joined = connected_components(first, keep=part.saved)
-            rest = unconnected_pairs(members.select("bucket", "doc_id", "size"), joined, keep=part.saved).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-            # What two sets share lies in both prefixes or behind one of them.
-            behind = F.greatest(*[F.ceil(F.col(n) * NEAR_SIMILARITY - 1e-9) - 1 for n in ("na", "nb")])
-            needed = (F.col("na") + F.col("nb")) * (NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) - 1e-6
-            rest = part.saved(rest.where(F.col("shared") + behind >= needed).select("a", "b"))
-            second = near(rest)
-        return connected_components(first.unionByName(second))
+        links = near(hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp")))
+        # Those nearest by their fingerprints first, as what they connect need not be compared again.
+        for bits, least in ((NEAR_FIRST, 0), (NEAR_BITS, NEAR_LEAST)):
+            with Scratch(spark) as part:
+                joined = connected_components(links, keep=part.saved)
+                rest = unconnected_pairs(members.drop("n"), joined, keep=part.saved, fps=marks.select("doc_id", "fp"), bits=bits, least=least)
+                links = own.saved(links.unionByName(near(rest)))
+        return connected_components(links)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
