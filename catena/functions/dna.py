@@ -125,6 +125,28 @@ def cigar_identity(cigar: Column, longest_gap: int | None = None) -> Column:
     return F.when(columns > 0, 100.0 * cigar_span(cigar, "=") / columns).otherwise(0.0)
 
 
+def effective_identity(cigar: Column, longest_gap: int = 7, least: int = 50) -> Column:
+    """cigar_identity without gaps of over longest_gap bases; 0 for fewer than least columns."""
+    left_out = F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[ID]"), F.lit(1)), F.lit(0).cast("long"), lambda s, x: s + F.when(x.cast("long") > longest_gap, x.cast("long")).otherwise(0))
+    return F.when(cigar_span(cigar, "=XID") - left_out < least, 0.0).otherwise(cigar_identity(cigar, longest_gap))
+
+
+def gapped(cigar: Column, query: Column, subject: Column) -> Column:
+    """struct<query, subject>: the aligned parts with a dash for each base that the other has alone; clips are not part of query."""
+    side = lambda ops, seq: F.aggregate(
+        cigar_ops(cigar),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, x: F.when(x["op"].isin("S", "H", "P"), acc).otherwise(
+            F.struct(
+                (acc["at"] + F.when(x["op"].isin(*ops), x["len"]).otherwise(0)).alias("at"),
+                F.concat(acc["out"], F.when(x["op"].isin(*ops), F.substring(seq, acc["at"] + 1, x["len"])).otherwise(F.repeat(F.lit("-"), x["len"]))).alias("out"),
+            )
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.struct(side("MI=X", query).alias("query"), side("MDN=X", subject).alias("subject"))
+
+
 def cigar_valid(cigar: Column, length: Column) -> Column:
     """Whether the operations on the query add up to the length of the read."""
     return cigar_span(cigar, "SMI=X") == length
@@ -150,7 +172,8 @@ def forward_start(flag: Column, cigar: Column, length: Column) -> Column:
 
 
 def pad10(x: Column) -> Column:
-    return F.lpad(x.cast("string"), 10, "0")
+    """Ten digits at least; longer numbers stay whole."""
+    return F.lpad(x.cast("string"), F.greatest(F.lit(10), F.length(x.cast("string"))), F.lit("0"))
 
 
 def fragment_id(read_id: Column, frag_id: Column, sid: Column, soff: Column) -> Column:

@@ -158,3 +158,56 @@ def cover_path(spans: DataFrame, size: int, least: int = 50) -> DataFrame:
 
     ends = F.aggregate("spans", F.array().cast(kind), step, lambda done: F.array_min(F.transform(done, lambda d: F.struct((d["cost"] + gap(size - d["e"])).alias("cost"), d["path"].alias("path")))))
     return ordered.select("read_id", ends.alias("x")).select("read_id", F.col("x.cost").alias("cost"), F.col("x.path").alias("path"))
+
+
+def order_histogram(frags: DataFrame) -> DataFrame:
+    """(frags, reads): reads by how many fragments they have."""
+    return frags.groupBy("read_id").agg(F.count(F.lit(1)).alias("frags")).groupBy("frags").agg(F.count(F.lit(1)).alias("reads"))
+
+
+def strand_histogram(frags: DataFrame) -> DataFrame:
+    """(strand, frags)."""
+    return frags.groupBy("strand").agg(F.count(F.lit(1)).alias("frags"))
+
+
+def read_subset(frags: DataFrame, n: int, short: int = 200, seed: int = 0) -> DataFrame:
+    """(read_id, has_short): n reads, those with a fragment under short bases (b, e) first, drawn by a hash of the id and seed."""
+    per = frags.groupBy("read_id").agg(F.max((F.col("e") - F.col("b") < short).cast("int")).alias("has_short"))
+    draw = F.md5(F.concat_ws(":", F.lit(seed), "read_id"))
+    return per.orderBy(F.desc("has_short"), draw, "read_id").limit(n).select("read_id", (F.col("has_short") == 1).alias("has_short"))
+
+
+def site_support(frags: DataFrame, sites: DataFrame, mapq: int = MAPQ) -> DataFrame:
+    """(frags, supported, fraction): ends of frags (sid, sb, se, mapq) that are in sites (sid, pos), by equi-join on both."""
+    f = frags.where(F.col("mapq") >= mapq)
+    ends = f.select("sid", F.explode(F.array("sb", "se")).alias("pos")).groupBy("sid", "pos").agg(F.count(F.lit(1)).alias("n"))
+    hit = ends.join(sites.select("sid", "pos", F.lit(1).alias("on")).distinct(), ["sid", "pos"], "left")
+    total, on = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("on").isNotNull(), F.col("n")).otherwise(0)), F.lit(0))
+    return hit.agg((total / 2).cast("long").alias("frags"), on.alias("supported"), F.when(total > 0, on / total).alias("fraction"))
+
+
+def union_numbered(parts: list[DataFrame], order: list[str]) -> DataFrame:
+    """The rows of some tables, one after another, with read_id from 0 in order, over all of them.
+
+    Rows are dealt in ranges of (table, order) and counted by range first, so
+    that no task numbers all.
+    """
+    every = None
+    for k, part in enumerate(parts):
+        part = part.withColumn("file", F.lit(k))
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        raise ValueError("no tables")
+    n = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = every.repartitionByRange(n, "file", *order).withColumn("_part", F.spark_partition_id())
+    sums = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    base = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("file", *order)) - 1
+    return dealt.withColumn("_r", rank).join(base, "_part").withColumn("read_id", F.col("_b") + F.col("_r")).drop("_part", "_r", "_b")
+
+
+def of_reads(records: DataFrame, reads: DataFrame, name: str = "qname") -> DataFrame:
+    """SAM records with read_id and length of the read that has their name; records of unknown reads go."""
+    own = reads.select(F.col("name").alias(name), "read_id", F.length("seq").alias("read_len"))
+    return records.join(own, name)

@@ -65,9 +65,10 @@ def _inside(a: Fragment, b: Fragment) -> bool:
 def _loser(left: Fragment, right: Fragment, subject: bool) -> str:
     """Whose end is cut, by the sites under the left one's end and the right one's start."""
     a, b, c, d = left.on_site(1), left.on_site(3), right.on_site(0), right.on_site(2)
-    longer = "right" if left.qe - left.qb > right.qe - right.qb else "left"
+    size = (lambda f: f.se - f.sb) if subject else (lambda f: f.qe - f.qb)
+    longer = "right" if size(left) > size(right) else "left"
     if a and b and c and d:
-        return ("left" if longer == "right" else "right") if subject else longer
+        return ("left" if size(left) < size(right) else "right") if subject else longer
     if a and b:
         return "right"
     if c and d:
@@ -107,17 +108,17 @@ def trim_query(frags: list[Fragment]) -> list[Fragment]:
 
 
 def trim_subject(frags: list[Fragment]) -> list[Fragment]:
-    """The same on contigs, for every two fragments of one contig and strand where neither begins or ends with the other."""
+    """The same on contigs, for every two fragments of one contig and strand of which one begins first; one that it holds whole goes if it is the one to be cut."""
     out: list[Fragment | None] = list(frags)
     for i in range(len(out)):
         for j in range(len(out)):
             a, b = out[i], out[j]
-            if i == j or a is None or b is None or (a.sid, a.strand) != (b.sid, b.strand) or not (a.sb < b.sb < a.se < b.se):
+            if i == j or a is None or b is None or (a.sid, a.strand) != (b.sid, b.strand) or not a.sb < b.sb < a.se:
                 continue
             if _loser(a, b, True) == "left":
                 out[i] = cut_end(a, s=b.sb)
             else:
-                out[j] = cut_start(b, s=a.se)
+                out[j] = cut_start(b, s=a.se) if a.se < b.se else None
     return [f for f in out if f is not None and f.qe - f.qb >= LEAST]
 
 

@@ -88,10 +88,10 @@ def contig_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.length_stats(document_contigs(spark, sf_dir))
 
 
-@query(f"WITH {_C} SELECT sid, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS reverse_md5, true AS back, translate(substr(seq, 1, 20), 'ACGT', '0123') AS codes FROM c")
+@query(f"WITH {_C} SELECT sid, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS reverse_md5, true AS back, md5(translate(seq, 'ACGT', '0123')) AS codes FROM c")
 def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rc = dna.reverse_complement
-    return document_contigs(spark, sf_dir).select("sid", F.md5(rc(F.col("seq"))).alias("reverse_md5"), (rc(rc(F.col("seq"))) == F.col("seq")).alias("back"), dna.encode(F.substring("seq", 1, 20)).alias("codes"))
+    return document_contigs(spark, sf_dir).select("sid", F.md5(rc(F.col("seq"))).alias("reverse_md5"), (rc(rc(F.col("seq"))) == F.col("seq")).alias("back"), F.md5(dna.encode(F.col("seq"))).alias("codes"))
 
 
 @query(f"WITH {_K} SELECT count(*) AS kmers, count(DISTINCT kmer) AS distinct_kmers, count(*) FILTER (rev) AS reversed FROM k")
@@ -108,7 +108,7 @@ def kmer_bucket_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_K}, {_CUT} SELECT n.bucket, CAST(sum(n.n) AS BIGINT) AS kept, count(*) AS kept_distinct FROM n JOIN cut USING (bucket) WHERE n.n <= cutoff GROUP BY n.bucket")
 def kmer_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ix.build_index(document_contigs(spark, sf_dir)).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy(F.substring("kmer", 1, 2).alias("bucket")).agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("kept_distinct"))
+    return by.groupBy(ix.bucket(F.col("kmer")).alias("bucket")).agg(F.sum("n").alias("kept"), F.count(F.lit(1)).alias("kept_distinct"))
 
 
 _SEEDS = f"""{_K}, {_CUT}, keep AS (SELECT k.* FROM k JOIN n USING (kmer) JOIN cut USING (bucket) WHERE n.n <= cutoff),
@@ -164,15 +164,16 @@ def nearest_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("sid", F.col("pos").cast("long").alias("pos"), F.col("site").cast("long").alias("site"))
 
 
-_HITS = "hit AS (SELECT sid, len, CAST(len // 3 AS BIGINT) AS qoff, CAST(len // 3 + 7 AS BIGINT) AS soff, CAST(least(len, len // 3 + 400) AS BIGINT) AS qend, CAST(least(len, len // 3 + 410) AS BIGINT) AS send FROM c WHERE len >= 200)"
+_HITS = "hit AS (SELECT sid, len, CAST(len // 3 AS BIGINT) AS qoff, CAST(len // 3 + 7 AS BIGINT) AS soff, CAST(least(len, len // 3 + 400) AS BIGINT) AS qend, CAST(least(len, len // 3 + 410) AS BIGINT) AS send FROM c)"
 
 
-@query(f"""WITH {_C}, {_SITES}, {_HITS}
-SELECT h.sid, CAST(q.pos AS BIGINT) AS qsite, CAST(t.pos AS BIGINT) AS ssite FROM hit h JOIN s q ON q.sid = h.sid AND abs(q.pos - h.qoff) <= 50 AND q.pos <= h.qend - 1
-JOIN s t ON t.sid = h.sid AND abs(t.pos - h.soff) <= 50 AND t.pos <= h.send - 1
-WHERE abs((h.qend - q.pos) - (h.send - t.pos)) <= 50 AND abs(1 - (h.qend - q.pos) / (h.send - t.pos)) <= 0.25""")
+@query(f"""WITH {_C}, {_SITES}, {_HITS}, a AS (SELECT sid, list(pos) AS ps FROM s GROUP BY sid),
+q AS (SELECT h.*, ps, unnest(list_filter(ps, lambda x: abs(x - qoff) <= 50 AND x <= qend - 1)) AS qsite FROM hit h JOIN a USING (sid)),
+t AS (SELECT *, unnest(list_filter(ps, lambda x: abs(x - soff) <= 50 AND x <= send - 1)) AS ssite FROM q)
+SELECT sid, CAST(qsite AS BIGINT) AS qsite, CAST(ssite AS BIGINT) AS ssite FROM t
+WHERE abs((qend - qsite) - (send - ssite)) <= 50 AND abs(1 - (qend - qsite) / (send - ssite)) <= 0.25""")
 def nearby_site_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = document_contigs(spark, sf_dir).where("len >= 200")
+    refs = document_contigs(spark, sf_dir)
     at = F.expr("len div 3")
     hits = refs.select("sid", at.alias("qoff"), (at + 7).alias("soff"), F.least("len", at + 400).alias("qend"), F.least("len", at + 410).alias("send")).join(st.site_arrays(refs, "DpnII"), "sid")
     got = st.nearby_pairs(hits, F.col("sites"), F.col("sites"))
