@@ -12,35 +12,55 @@ TAG_COLUMNS = dict(zip(TAGS, ["ddf_score", "read_id", "strand", "qb", "qe", "q_l
 _SAM = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq) of FASTA files, plain or gzip.
+#: Where a line stands: file, the split's offset in it, and the place in the split.
+PLACE = ["_file", "_block", "_at"]
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+
+
+def expand(spark: SparkSession, path: str) -> list[str]:
+    """The paths that a list file names, one a line, or the path itself; # begins a comment."""
+    if guess_format(spark, path) != "list":
+        return [path]
+    return [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip() and not r["value"].lstrip().startswith("#")]  # of paths
+
+
+def read_fasta(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """(name, comment, seq) of FASTA files, plain or gzip; with place also PLACE.
 
     Records may be folded over lines. Lines that begin with ! or # are left
     out, what follows a ; too, and white space; the sequence is upper-cased. A
     record with characters that are no residue for a third of it or more is
     left out. Empty records are kept.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).where("value <> ''")
+    raw = _placed(spark.read.option("lineSep", "\n>").text(path)).where("value <> ''")
     body = F.regexp_replace(F.regexp_replace("value", r"\r", ""), "^>", "")
     lines = F.split(body, "\n")
     head = F.trim(F.element_at(lines, 1))
     rest = F.transform(F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~x.rlike("^[!#;]")), lambda x: F.regexp_replace(x, r";.*|\s", ""))
-    got = raw.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("comment"), F.upper(F.array_join(rest, "")).alias("seq"))
+    got = raw.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("comment"), F.upper(F.array_join(rest, "")).alias("seq"), *(PLACE if place else []))
     bad = F.length(F.regexp_replace("seq", "[ACGTUMRWSYKVHDBN*-]", ""))
     return got.where((bad == 0) | (3 * bad < F.length("seq") - bad))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq, qual) of FASTQ files with four lines a record, plain or gzip.
+def read_fastq(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """(name, comment, seq, qual) of FASTQ files with four lines a record, plain or gzip; with place also PLACE.
 
-    Records are put together by line number within a file, which is counted by
-    range of offset, so that no task reads more than its split but for gzip.
+    Records are put together by line number within a file. Lines are counted by
+    split first, so that no task reads more than its split but for gzip.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    n = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
-    four = lines.withColumn("n", n).groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(*[F.max(F.when(F.col("n") % 4 == k, F.col("line"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))])
+    lines = _placed(spark.read.text(path))
+    sums = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    base = sums.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = lines.withColumn("_r", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1).join(base, ["_file", "_block"])
+    n = F.col("_base") + F.col("_r")
+    fields = [F.max(F.when(F.col("n") % 4 == k, F.col("value"))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))]
+    four = numbered.withColumn("n", n).groupBy("_file", F.floor(F.col("n") / 4).alias("_at")).agg(*fields).withColumn("_block", F.lit(0).cast("long"))
     ok = four.where(F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")))
-    return ok.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.trim(F.regexp_replace("head", r"^@\S*", "")).alias("comment"), F.upper("seq").alias("seq"), "qual")
+    return ok.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.trim(F.regexp_replace("head", r"^@\S*", "")).alias("comment"), F.upper("seq").alias("seq"), "qual", *(PLACE if place else []))
 
 
 def guess_format(spark: SparkSession, path: str) -> str:
