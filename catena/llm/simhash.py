@@ -207,7 +207,7 @@ def index_length(n: Column) -> Column:
 
 
 def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE, keep: Callable[[DataFrame], DataFrame] = saved, fps: DataFrame | None = None, bits: int = BITS, least: int = 0) -> DataFrame:
-    """(a, b), a < b: every two documents of one bucket that found (node, component) does not connect and that may be alike.
+    """(a, b, na, nb, diff), a < b, sizes and the bits that differ in fingerprints: every two documents of one bucket that found (node, component) does not connect and that may be alike.
 
     members has bucket, doc_id, size, the number of shingles, and pos, the
     bucket's place in the prefix (1 if there is no such column). Two don't meet
@@ -241,7 +241,9 @@ def unconnected_pairs(members: DataFrame, found: DataFrame, tile: int = TILE, ke
     apart = F.bit_count(F.col("fx").bitwiseXOR(F.col("fy")))
     may = (small * 5 >= large * 4) & ((apart <= bits) | (small < least)) & listed & (most * 9 >= (F.col("nx") + F.col("ny")) * 4)
     met = left.join(right, ["bucket", "row", "column"]).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    low = F.col("x") < F.col("y")
+    pick = lambda c, d, n: F.when(low, F.col(c)).otherwise(F.col(d)).alias(n)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), pick("nx", "ny", "na"), pick("ny", "nx", "nb"), F.col("fx").bitwiseXOR(F.col("fy")).alias("diff"))
 
 
 def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -323,19 +325,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def picked(table: DataFrame, ids: KeyBitmap, wanted: DataFrame) -> DataFrame:
             return ids.mark(table, "_in").where("_in").drop("_in").join(wanted, "doc_id", "left_semi")
 
-        def near(pairs: DataFrame) -> DataFrame:
+        def shared_enough(links: DataFrame, part: Scratch) -> DataFrame:
+            """Links (a, b, na, nb) whose prefixes share enough: what two sets share lies in both prefixes or behind one of them."""
+            wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            prefixes = picked(sketches.select("doc_id", "prefix"), KeyBitmap(wanted, part), wanted).groupBy("doc_id").agg(F.min("prefix").alias("prefix"))
+            both = skew_join(skew_join(links, of(prefixes, "prefix", "a", "pa"), "a"), of(prefixes, "prefix", "b", "pb"), "b")
+            behind = F.ceil(F.greatest("na", "nb") * NEAR_SIMILARITY - 1e-9) - 1
+            return both.where((F.size(F.array_intersect("pa", "pb")) + behind) * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
+
+        def near(pairs: DataFrame, sift: bool = True) -> DataFrame:
             with Scratch(spark) as part:
-                sized = lambda end: marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"n{end}"), F.col("fp").alias(f"f{end}"))
-                links = skew_join(skew_join(pairs.distinct(), sized("a"), "a"), sized("b"), "b")
-                diff = F.col("fa").bitwiseXOR(F.col("fb"))
-                close = chain_within(diff, NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN) & (F.bit_count(diff) <= NEAR_BITS)
-                links = part.saved(links.where((F.least("na", "nb") < NEAR_LEAST) | close).select("a", "b", "na", "nb"))
-                wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-                prefixes = picked(sketches.select("doc_id", "prefix"), KeyBitmap(wanted, part), wanted).groupBy("doc_id").agg(F.min("prefix").alias("prefix"))
-                both = skew_join(skew_join(links, of(prefixes, "prefix", "a", "pa"), "a"), of(prefixes, "prefix", "b", "pb"), "b")
-                # What two sets share lies in both prefixes or behind one of them.
-                behind = F.ceil(F.greatest("na", "nb") * NEAR_SIMILARITY - 1e-9) - 1
-                links = part.saved(both.where((F.size(F.array_intersect("pa", "pb")) + behind) * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"))
+                close = chain_within(F.col("diff"), NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN) & (F.bit_count("diff") <= NEAR_BITS)
+                # Written first: pushed into the join, the test would be too much for one compiled method.
+                links = part.saved(pairs.select("a", "b", "na", "nb", "diff").distinct())
+                links = links.where((F.least("na", "nb") < NEAR_LEAST) | close).select("a", "b", "na", "nb")
+                links = part.saved(shared_enough(links, part)) if sift else links.select("a", "b")
                 wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
                 # Whole sets take more room than texts, so they are made again for the texts in pairs, not kept for all.
                 sets = picked(rows, KeyBitmap(wanted, part), wanted)
@@ -344,13 +348,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = skew_join(found, of(sets, "shingles", "b", "xb"), "b")
                 return own.saved(found.where(alike(F.col("xa"), F.col("xb"))).select("a", "b"))
 
-        links = near(hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp")))
+        sized = lambda end: marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"n{end}"), F.col("fp").alias(f"f{end}"))
+        hot = hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp"))
+        hot = skew_join(skew_join(hot, sized("a"), "a"), sized("b"), "b")
+        links = near(hot.withColumn("diff", F.col("fa").bitwiseXOR(F.col("fb"))))
         # Those nearest by their fingerprints first, as what they connect need not be compared again.
         for bits, least in ((NEAR_FIRST, 0), (NEAR_BITS, NEAR_LEAST)):
             with Scratch(spark) as part:
                 joined = connected_components(links, keep=part.saved)
                 rest = unconnected_pairs(members.drop("n"), joined, keep=part.saved, fps=marks.select("doc_id", "fp"), bits=bits, least=least)
-                links = own.saved(links.unionByName(near(rest)))
+                # Of the nearest, few pairs would be sifted out.
+                links = own.saved(links.unionByName(near(rest, sift=bits == NEAR_BITS)))
         return connected_components(links)
 
 
