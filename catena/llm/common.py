@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +147,24 @@ def worker_cache(cached):
 
 
 def free_worker_caches() -> None:
-    """Give back what this worker process keeps for operators that ran before; called where another operator needs the memory."""
+    """Give back what this worker process keeps for operators that ran before; called where another operator needs the memory.
+
+    What the allocators hold of it goes back to the system as well, where they can do that.
+    """
     for cached in _caches:
         cached.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def lean_worker() -> Iterator[None]:
+    """Around the work of a task whose worker process is kept: it starts and ends without memory of other work."""
+    free_worker_caches()
+    try:
+        yield
+    finally:
+        free_worker_caches()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import KeyBitmap, Scratch, free_worker_caches, saved, skew_join
+from catena.llm.common import KeyBitmap, Scratch, lean_worker, saved, skew_join
 from catena.llm.components import connected_components
 
 SEED = 42
@@ -296,20 +296,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = frequent_shingles(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker_caches()
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                sets = [shingle_set(t.as_py() or b"") for t in part.column(1).cast(pa.binary())]
-                sizes, fps = pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(fingerprint, sets)), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, pa.array([prefix(x, frequent) for x in sets], pa.list_(pa.int64()))], ["doc_id", "size", "fp", "prefix"])
+        with lean_worker():
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(k, ROWS)
+                    sets = [shingle_set(t.as_py() or b"") for t in part.column(1).cast(pa.binary())]
+                    sizes, fps = pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(fingerprint, sets)), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, pa.array([prefix(x, frequent) for x in sets], pa.list_(pa.int64()))], ["doc_id", "size", "fp", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                sets = [shingle_set(t.as_py() or b"").view(np.int64) for t in part.column(1).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        with lean_worker():
+            for batch in batches:
+                for k in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(k, ROWS)
+                    sets = [shingle_set(t.as_py() or b"").view(np.int64) for t in part.column(1).cast(pa.binary())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     with Scratch(spark) as own:
         sketches = own.saved(rows.mapInArrow(run, "doc_id long, size int, fp long, prefix array<long>"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catena.llm.common import free_worker_caches, saved, shuffle_partitions
+from catena.llm.common import free_worker_caches, lean_worker, saved, shuffle_partitions
 from catena.llm.words import Words, chunks, spark_xxhash64
 
 WINDOW = 20
@@ -149,6 +149,7 @@ def _exchange(rows: DataFrame, answer: Callable[[list[bytes]], tuple[np.ndarray,
     """Send blobs to their buckets; each bucket's answer (doc, pos) comes back as blobs by document bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker_caches()
         docs, places = [], []
         for bucket, blobs in _by_bucket(batches):
             if bucket < 0:
@@ -265,19 +266,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     buckets = shuffle_partitions(docs.sparkSession)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker_caches()
-
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 for a, words in chunks(_texts(batch, "text")):
                     yield _anchors(words, ids[a : a + len(words.count)])
 
-        yield from _gather(blocks(), lambda *x: _anchor_blocks(*x, buckets))
+        with lean_worker():
+            yield from _gather(blocks(), lambda *x: _anchor_blocks(*x, buckets))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_worker_caches()
-
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
             for ids, texts, marks, _ in _met(batches):
                 some = [k for k, m in enumerate(marks) if len(m)]
@@ -295,7 +293,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
                     at = words.first[text] + pos
                     yield words.windows(at, WINDOW), (words.windows(at, WINDOW, 0x5851F42D4C957F2D) >> _U(32)).astype(np.uint32), ids[some][a:][text], pos.astype(np.uint32)
 
-        yield from _gather(blocks(), lambda *x: _window_blocks(*x, buckets))
+        with lean_worker():
+            yield from _gather(blocks(), lambda *x: _window_blocks(*x, buckets))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_worker_caches()
