@@ -162,6 +162,9 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 #: shingles that the smaller set must have for it. At a similarity of 0.8 a bit of the fingerprints differs with a chance
 #: of at most acos(0.8 / 0.9) / pi = 0.15, so the test loses one pair in 10^8 at the threshold and fewer above it.
 NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN, NEAR_LEAST = 28, 8, 4, 64
+#: Words of the wide fingerprints, and bits of theirs that near copies may differ in, by the same chance: the test loses
+#: fewer than one pair in 10^8 at the threshold and rules out most pairs with a similarity under a half.
+WIDE, WIDE_BITS = 8, 128
 #: Bits that differ, at most, between those of a bucket that are compared first; this decides the order of work, not the result.
 NEAR_FIRST = 8
 #: Documents that the frequent shingles are taken from, how many of them must have one, and how many are kept; they decide the order of work, not the result.
@@ -170,6 +173,20 @@ SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 50_000
 TILE = 2048
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """words further fingerprints of 64 bits, each of the hashes mixed anew, as signed longs."""
+    ones = np.zeros((words, BITS), np.int64)
+    for k in range(0, len(hashes), 1 << 13):
+        part = hashes[k : k + (1 << 13)].astype(np.uint64)
+        for j in range(words):
+            mixed = part + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(31)
+            ones[j] += np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">i8").astype(np.int64).reshape(words)
+
+
 def shingle_set(text: bytes, words: int = NEAR_WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
     return np.unique(shingle_hashes(text, words))
@@ -201,6 +218,11 @@ def alike(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
 
 
+def wide_apart(a: Column, b: Column) -> Column:
+    """Bits that differ between two wide fingerprints."""
+    return reduce(Column.__add__, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WIDE)])
+
+
 def index_length(n: Column) -> Column:
     """Shingles of its prefix that a set of n needs to be found by sets that are no smaller: what it shares with those is 8/9 of it at least."""
     return n - F.floor((n * 8 + 8) / 9).cast("int") + 1
@@ -285,8 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles last, share a shingle of their prefixes. Where a shingle has over
     SMALL_BUCKET texts, each is compared with some centres of its largest bucket
     first; then every two texts of a bucket that are not connected yet, unless
-    their sizes or the shingle's places in their prefixes rule them out. Pairs go through the pigeonring test on their fingerprints and
-    the whole distance; whole shingle sets decide. Null, empty and blank texts
+    their sizes or the shingle's places in their prefixes rule them out. Pairs go through the pigeonring test on their fingerprints,
+    the whole distance and that of wide fingerprints; whole shingle sets decide. Null, empty and blank texts
     are near nothing; texts of fewer than five words near those of the same
     words. Rows without an id have no part; those that share an id count as the
     first of them.
@@ -302,7 +324,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     part = batch.slice(k, ROWS)
                     sets = [shingle_set(t.as_py() or b"") for t in part.column(1).cast(pa.binary())]
                     sizes, fps = pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(fingerprint, sets)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, pa.array([prefix(x, frequent) for x in sets], pa.list_(pa.int64()))], ["doc_id", "size", "fp", "prefix"])
+                    wide, prefixes = ([f(x) for x in sets] for f in (wide_fingerprint, lambda x: prefix(x, frequent)))
+                    longs = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0), sizes, fps, pa.array(wide, longs), pa.array(prefixes, longs)], ["doc_id", "size", "fp", "wide", "prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with lean_worker():
@@ -313,8 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     with Scratch(spark) as own:
-        sketches = own.saved(rows.mapInArrow(run, "doc_id long, size int, fp long, prefix array<long>"))
-        marks = own.saved(sketches.groupBy("doc_id").agg(F.min(F.struct("size", "fp")).alias("m")).select("doc_id", "m.size", "m.fp"))
+        sketches = own.saved(rows.mapInArrow(run, "doc_id long, size int, fp long, wide array<long>, prefix array<long>"))
+        marks = own.saved(sketches.groupBy("doc_id").agg(F.min(F.struct("size", "fp", "wide")).alias("m")).select("doc_id", "m.size", "m.fp", "m.wide"))
         keyed = sketches.select("doc_id", "size", F.posexplode("prefix").alias("pos", "bucket")).withColumn("pos", F.col("pos") + 1)
         listed = F.max(F.col("pos") <= index_length(F.col("size")))
         counts = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), listed.alias("listed")).where("n > 1 and listed").drop("listed")
@@ -326,21 +350,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         def picked(table: DataFrame, ids: KeyBitmap, wanted: DataFrame) -> DataFrame:
             return ids.mark(table, "_in").where("_in").drop("_in").join(wanted, "doc_id", "left_semi")
 
-        def shared_enough(links: DataFrame, part: Scratch) -> DataFrame:
-            """Links (a, b, na, nb) whose prefixes share enough: what two sets share lies in both prefixes or behind one of them."""
-            wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-            prefixes = picked(sketches.select("doc_id", "prefix"), KeyBitmap(wanted, part), wanted).groupBy("doc_id").agg(F.min("prefix").alias("prefix"))
-            both = skew_join(skew_join(links, of(prefixes, "prefix", "a", "pa"), "a"), of(prefixes, "prefix", "b", "pb"), "b")
-            behind = F.ceil(F.greatest("na", "nb") * NEAR_SIMILARITY - 1e-9) - 1
-            return both.where((F.size(F.array_intersect("pa", "pb")) + behind) * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
-
-        def near(pairs: DataFrame, sift: bool = True) -> DataFrame:
+        def near(pairs: DataFrame) -> DataFrame:
             with Scratch(spark) as part:
                 close = chain_within(F.col("diff"), NEAR_BITS, NEAR_SEGMENTS, NEAR_CHAIN) & (F.bit_count("diff") <= NEAR_BITS)
+                small = F.least("na", "nb") < NEAR_LEAST
                 # Written first: pushed into the join, the test would be too much for one compiled method.
-                links = part.saved(pairs.select("a", "b", "na", "nb", "diff").distinct())
-                links = links.where((F.least("na", "nb") < NEAR_LEAST) | close).select("a", "b", "na", "nb")
-                links = part.saved(shared_enough(links, part)) if sift else links.select("a", "b")
+                links = part.saved(pairs.select("a", "b", "na", "nb", "diff").distinct()).where(small | close)
+                links = skew_join(skew_join(links, of(marks, "wide", "a", "wa"), "a"), of(marks, "wide", "b", "wb"), "b")
+                links = part.saved(links.where(small | (wide_apart(F.col("wa"), F.col("wb")) <= WIDE_BITS)).select("a", "b"))
                 wanted = part.saved(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
                 # Whole sets take more room than texts, so they are made again for the texts in pairs, not kept for all.
                 sets = picked(rows, KeyBitmap(wanted, part), wanted)
@@ -358,8 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             with Scratch(spark) as part:
                 joined = connected_components(links, keep=part.saved)
                 rest = unconnected_pairs(members.drop("n"), joined, keep=part.saved, fps=marks.select("doc_id", "fp"), bits=bits, least=least)
-                # Of the nearest, few pairs would be sifted out.
-                links = own.saved(links.unionByName(near(rest, sift=bits == NEAR_BITS)))
+                links = own.saved(links.unionByName(near(rest)))
         return connected_components(links)
 
 

@@ -187,3 +187,36 @@ def test_every_near_pair_is_found(spark):
     pairs = [(a, b) for i, a in enumerate(ends) for b in ends[i + 1 :] if close(a, b)]
     assert 200 < len(pairs) < 400
     assert got == {x: min(p) for p in pairs for x in p}
+
+
+def test_wide_fingerprints(spark):
+    import numpy as np
+
+    from catena.llm.simhash import NEAR_LEAST, WIDE, WIDE_BITS, wide_apart, wide_fingerprint
+
+    def mixed(h, j):
+        x, cut = h + (j + 1) * 0x9E3779B97F4A7C15, (1 << 64) - 1
+        x = ((x & cut) ^ (x & cut) >> 30) * 0xBF58476D1CE4E5B9 & cut
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & cut
+        return x ^ x >> 31
+
+    rng = random.Random(37)
+    for n in (0, 1, 2, 65):
+        own = [rng.getrandbits(64) for _ in range(n)]
+        want = [sum(1 << b for b in range(64) if 2 * sum(mixed(h, j) >> b & 1 for h in own) > n) for j in range(WIDE)]
+        assert [x % (1 << 64) for x in wide_fingerprint(np.array(own, np.uint64)).tolist()] == want
+    whole = np.array([rng.getrandbits(64) for _ in range(9000)], np.uint64)
+    assert (wide_fingerprint(whole) == wide_fingerprint(whole[::-1])).all()  # more than one block
+
+    rows, want = [], []
+    for k in range(300):
+        n = rng.choice([NEAR_LEAST, NEAR_LEAST + 1, 200])
+        same = -(-8 * n // 9)  # of both, for a similarity of 0.8
+        far = rng.random() < 0.3
+        draw = np.array([rng.getrandbits(64) for _ in range(2 * n - (n // 4 if far else same))], np.uint64)
+        a, b = wide_fingerprint(draw[:n]), wide_fingerprint(draw[-n:])
+        rows.append((far, a.tolist(), b.tolist()))
+        want.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
+    got = spark.createDataFrame(rows, "far boolean, a array<long>, b array<long>").select("far", wide_apart(F.col("a"), F.col("b")).alias("d")).collect()
+    assert sorted(r.d for r in got) == sorted(want)
+    assert all((r.d > WIDE_BITS) == r.far for r in got)
