@@ -35,21 +35,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows that travel to a Python worker at a time; ten thousand texts would be held several times over, on both sides.
+BATCH_ROWS = 2048
+
+
 @contextmanager
-def _shuffles_end(spark: SparkSession) -> Iterator[None]:
-    """What is run meanwhile removes its shuffle files when it ends; nothing reads them again, as its result is a table."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """What is planned and run meanwhile has these settings."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
+    """df as a table in path. Its shuffle files go when it is written, as nothing reads them again."""
     spark, schema = df.sparkSession, df.schema
-    with _shuffles_end(spark):
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(batch, "0"))
+    rows = rows if 0 < rows < BATCH_ROWS else BATCH_ROWS
+    with _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", batch: str(rows)}):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

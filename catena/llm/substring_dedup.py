@@ -113,14 +113,21 @@ def _known(doc: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple[int, by
 def _gather(blocks: Iterator[tuple[np.ndarray, ...]], send: Callable[..., Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
+
+    def taken() -> list[np.ndarray]:
+        whole = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
+        return whole
+
     for block in blocks:
         held.append(block)
         n += len(block[0])
+        del block
         if n >= BLOCK:
-            yield from send(*map(np.concatenate, zip(*held)))
-            held, n = [], 0
+            yield from send(*taken())
+            n = 0
     if held:
-        yield from send(*map(np.concatenate, zip(*held)))
+        yield from send(*taken())
 
 
 def _anchors(words: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -88,7 +88,7 @@ class Words:
         return mix((sums[at + size] - sums[at]) * power(_WINDOW_BASE, n + 1, True)[at])
 
 
-def chunks(texts: list[bytes], limit: int = 2 << 20) -> Iterator[tuple[int, Words]]:
+def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, Words]]:
     """Words of about limit bytes of texts at a time, each with the index of its first text."""
     a = size = 0
     for b, t in enumerate(texts):
