@@ -158,13 +158,8 @@ def worker_cache(cached):
     return cached
 
 
-def free_worker_caches() -> None:
-    """Give back what this worker process keeps for operators that ran before; called where another operator needs the memory.
-
-    What the allocators hold of it goes back to the system as well, where they can do that.
-    """
-    for cached in _caches:
-        cached.cache_clear()
+def trim_worker() -> None:
+    """Give what this worker process's allocators hold unused back to the system, where they can do that."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -172,6 +167,13 @@ def free_worker_caches() -> None:
         trim(0)
 
 
+def free_worker_caches() -> None:
+    """Give back what this worker process keeps for operators that ran before; called where another operator needs the memory."""
+    for cached in _caches:
+        cached.cache_clear()
+    trim_worker()
+
+
 @contextmanager
 def lean_worker() -> Iterator[None]:
     """Around the work of a task whose worker process is kept: it starts and ends without memory of other work."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import free_worker_caches
+from catena.llm.common import lean_worker
 
 #: Bytes of an n-gram.
 N = 4
@@ -189,9 +189,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: tuple[
 
     @F.pandas_udf("lang string, score double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        free_worker_caches()
-        for texts in batches:
-            yield pd.DataFrame(shared.value.predict([None if t is None or t != t else t for t in texts.tolist()]), columns=["lang", "score"])
+        with lean_worker():
+            for texts in batches:
+                yield pd.DataFrame(shared.value.predict([None if t is None or t != t else t for t in texts.tolist()]), columns=["lang", "score"])
 
     found = docs.withColumn("_lid", scored(F.col(text_col).cast("string")))
     return found.withColumn(into[0], F.col("_lid.lang")).withColumn(into[1], F.col("_lid.score")).drop("_lid")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catena.llm.common import saved, shuffle_partitions
+from catena.llm.common import saved, shuffle_partitions, trim_worker
 from catena.llm.pieces import library_encoder
 
 CAPACITY = 2048
@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_worker()
         encode = library_encoder(tokenizer, " ")
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:

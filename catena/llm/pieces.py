@@ -19,7 +19,7 @@ import numpy as np
 from catena.llm.common import worker_cache
 
 #: Pieces that a worker keeps in each of two generations.
-CACHE = 250_000
+CACHE = 125_000
 #: Characters of the longest piece that is kept; of longer ones' ids nothing is.
 LONG = 64
 _INNER = re.compile(r"(?<=\S) (?=\S)")
