@@ -2,33 +2,127 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catena.functions import dna
 
 #: Seeds of a fragment that may share a place of its subject, bases of a k-mer.
 LOCAL_AT_ONE, LOCAL_K = 20, 15
+#: Bases of rows, or places of subjects, that a worker looks at together; bases of a block that is cut up in a join.
+PLACES, BLOCK = 1 << 18, 1 << 12
+#: Bases of a row whose seeds are still found in the row; ids of other rows that may be listed in a plan.
+LONG, LISTED = 1 << 20, 10_000
 #: Bases that a candidate has on either side at least; hits over one base of a read; depth that is counted.
 LEAST, MOST_HITS, MOST_DEPTH = 20, 3, 100
 
 
+def _numbers(data: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """For each place of data a number of the k bytes from there, the same for the same bytes, and a bound of the numbers."""
+    letters = np.cumsum(np.bincount(data, minlength=256) > 0) - 1
+    rank, size = letters[data].astype(np.int64), int(letters[-1]) + 1
+    n = len(data) - k + 1
+    out, bound = rank[:n], size
+    for j in range(1, k):
+        if bound * size >= 1 << 62:
+            out, bound = np.unique(out, return_inverse=True)[1].reshape(-1), n
+        out, bound = out * size + rank[j : j + n], bound * size
+    return out, bound
+
+
+def _shared(ids: pa.Array, q: list[bytes], s: list[bytes], k: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The seeds of some rows, about PLACES places of subjects at a time."""
+    sizes = np.array([len(x) for x in (*q, *s)])
+    data = np.frombuffer(b"".join((*q, *s)), np.uint8)
+    if len(data) < k:
+        return
+    numbers, bound = _numbers(data, k)
+    row = np.repeat(np.arange(len(sizes)), sizes)[: len(numbers)]
+    place = np.arange(len(numbers)) - (np.cumsum(sizes) - sizes)[row]
+    inside = np.flatnonzero(place <= sizes[row] - k)
+    numbers, row, place = numbers[inside], row[inside], place[inside]
+    if bound * len(q) >= 1 << 62:
+        numbers, bound = np.unique(numbers, return_inverse=True)[1].reshape(-1), len(numbers)
+    cut = np.searchsorted(row, len(q))
+    row[cut:] -= len(q)
+    numbers += row * bound  # of a row's own
+    order = np.argsort(numbers[:cut])
+    own = numbers[:cut][order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if cut else np.empty(0, np.int64)
+    if not len(first):
+        return
+    kinds, often, at = own[first], np.diff(np.append(first, cut)), place[order]
+    for a in range(cut, len(numbers), PLACES):
+        part = slice(a, a + PLACES)
+        kind = np.minimum(np.searchsorted(kinds, numbers[part]), len(kinds) - 1)
+        n = np.where((kinds[kind] == numbers[part]) & (often[kind] <= most), often[kind], 0)
+        found = np.arange(n.sum()) + np.repeat(first[kind] - np.cumsum(n) + n, n)
+        if len(found):
+            offsets = (x.astype(np.int32) for x in (at[found], np.repeat(place[part], n)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(row[part], n))), *map(pa.array, offsets)], ["id", "qoff", "soff"])
+
+
+def _seeds_in_rows(pairs: DataFrame, k: int, most: int) -> DataFrame:
+    """local_seeds of ids that have one row each: what a row shares is found in the row, so nothing is dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, s, a, bases = [], [], 0, 0
+            for b in range(batch.num_rows):
+                q.append(batch.column(1)[b].as_py())
+                s.append(batch.column(2)[b].as_py())
+                bases += len(q[-1]) + len(s[-1])
+                if bases >= PLACES or b + 1 == batch.num_rows:
+                    yield from _shared(batch.column(0).slice(a, b + 1 - a), q, s, k, most)
+                    q, s, a, bases = [], [], b + 1, 0
+
+    rows = pairs.select("id", *[F.col(c).cast("binary").alias(c) for c in "qs"]).where("id is not null and q is not null and s is not null")
+    offsets = [T.StructField(c, T.IntegerType()) for c in ("qoff", "soff")]
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", pairs.schema["id"].dataType), *offsets]))
+
+
+def _seeds_by_join(pairs: DataFrame, k: int, most: int) -> DataFrame:
+    """local_seeds by joins on (id, k-mer). Places are counted from counts of k-mers, so that no more pairs are made than stay."""
+
+    def cuts(raw: Column, width: int, step: int) -> Column:
+        at = F.when(F.length(raw) >= k, F.sequence(F.lit(0), F.length(raw) - k, F.lit(step)))
+        return F.transform(at, lambda p: F.struct(p.alias("at"), F.substring(raw, p + 1, F.lit(width)).alias("part")))
+
+    def cut(side: str, name: str) -> DataFrame:
+        blocks = pairs.select("id", F.explode(dna.bound(F.col(side).cast("binary"), lambda raw: cuts(raw, BLOCK + k - 1, BLOCK))).alias("b"))
+        found = blocks.select("id", "b.at", F.explode(cuts(F.col("b.part"), k, 1)).alias("x"))
+        return found.select("id", F.col("x.part").alias("kmer"), (F.col("at") + F.col("x.at")).alias(name))
+
+    own, places = cut("q", "qoff"), cut("s", "soff")
+    often = places.join(own.groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n")), ["id", "kmer"])
+    kept = often.groupBy("id", "soff").agg(F.sum("n").alias("n")).where(F.col("n") <= most).select("id", "soff")
+    return places.join(kept, ["id", "soff"], "left_semi").join(own, ["id", "kmer"]).select("id", "qoff", "soff")
+
+
 def local_seeds(pairs: DataFrame, k: int = LOCAL_K, most: int = LOCAL_AT_ONE) -> DataFrame:
     """(id, qoff, soff): the k-mers, as they are read, that q and s of a row (id, q, s) share; places of s with over most go.
 
-    A join by (id, k-mer) of rows that were cut out of both sides.
+    Found within the row. Rows of one id share k-mers with one another too:
+    repeated ids, and rows of over LONG bases, are looked for first, in a job
+    of their own, and are joined by (id, k-mer). Null ids and sequences have
+    no seeds.
     """
-
-    def cuts(raw: Column) -> Column:
-        at = F.when(F.length(raw) >= k, F.sequence(F.lit(0), F.length(raw) - k))
-        return F.transform(at, lambda p: F.struct(p.alias("at"), F.substring(raw, p + 1, F.lit(k)).alias("kmer")))
-
-    cut = lambda side, name: pairs.select("id", F.explode(dna.bound(F.col(side).cast("binary"), cuts)).alias("x")).select("id", "x.kmer", F.col("x.at").alias(name))
-    hit = cut("q", "qoff").join(cut("s", "soff"), ["id", "kmer"]).drop("kmer")
-    often = hit.groupBy("id", "soff").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    return hit.join(often, ["id", "soff"], "left_anti")
+    longest = F.greatest(*(F.coalesce(F.length(F.col(c).cast("binary")), F.lit(0)) for c in "qs"))
+    by = pairs.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(longest).alias("longest"))
+    apart = by.where((F.col("n") > 1) | (F.col("longest") > LONG)).select("id")
+    some = apart.limit(LISTED + 1).collect()
+    if not some:
+        return _seeds_in_rows(pairs, k, most)
+    if len(some) <= LISTED:
+        apart = F.broadcast(pairs.sparkSession.createDataFrame(some, apart.schema))
+    in_rows = _seeds_in_rows(pairs.join(apart, "id", "left_anti"), k, most)
+    return in_rows.unionByName(_seeds_by_join(pairs.join(apart, "id", "left_semi"), k, most))
 
 
 def depth(spans: DataFrame, key: str = "read_id", most: int = MOST_DEPTH) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from catena.functions import dna
 from catena.operators import candidates as ca
@@ -86,3 +87,45 @@ def test_the_enzyme_that_cut(spark):
     assert inf.infer_enzyme(f) == "DpnII"
     assert {r.enzyme: r.votes for r in inf.enzyme_votes(f).collect()} == {"DpnII": 40, "HindIII": 0, "NcoI": 0, "NlaIII": 0}
     assert inf.infer_enzyme(f.limit(0)) is None
+
+
+def _seeds_by_hand(rows, k, most):
+    hits, at = [], {}
+    for i, q, _ in rows:
+        for p in range(len(q or b"") - k + 1):
+            at.setdefault((i, q[p : p + k]), []).append(p)
+    for i, _, s in rows:
+        for p in range(len(s or b"") - k + 1):
+            hits += [(i, x, p) for x in at.get((i, s[p : p + k]), []) if i is not None]
+    n = Counter((i, p) for i, _, p in hits)
+    return sorted(h for h in hits if n[h[0], h[2]] <= most)
+
+
+def test_local_seeds_by_hand(spark, monkeypatch):
+    rng = random.Random(3)
+    draw = lambda letters, n: bytes(rng.choices(letters, k=n))
+    rows = [(i, q := draw(b"ACGT", n), draw(b"ACGT", 30) + q[n // 3 :] + q[: n // 2]) for i, n in enumerate((0, 3, 4, 40, 300, 900))]
+    rows += [(10, b"A" * 30, b"A" * 25), (11, None, b"ACGTACGT"), (12, b"ACGTACGT", None), (None, b"ACGTACGT", b"ACGTACGT"), (13, bytes(range(256)) * 2, bytes(range(256)))]
+    twice = [(3, rows[3][2], rows[4][2]), (20, b"ACGTAC" * 4, b"ACGTACC" * 3), (20, b"ACGTAC", b"ACGTACG"), (20, b"ACGTAC", b"ACGTACG")]
+    usual, small = (1 << 20, 9, 1 << 18, 1 << 12), (35, 9, 50, 7)
+    for data, k, most, sizes in ((rows, 4, 3, usual), (rows, 15, 20, usual), (rows, 1, 8, (1 << 20, 9, 1, 1)), (rows + twice, 4, 3, usual), (rows + twice, 4, 20, small), (rows + twice, 15, 20, (35, 1, 50, 7))):
+        for name, value in zip(("LONG", "LISTED", "PLACES", "BLOCK"), sizes):
+            monkeypatch.setattr(ca, name, value)
+        df = spark.createDataFrame(data, "id long, q binary, s binary")
+        assert sorted(map(tuple, ca.local_seeds(df, k, most).collect())) == _seeds_by_hand(data, k, most), (k, most, sizes)
+
+
+def test_local_seeds_deals_out_no_kmers(spark):
+    """What is shuffled follows the rows, not their bases; a repeat is not paired with itself."""
+    rng = random.Random(8)
+    rows = [(i, s, s) for i in range(20) for s in ["".join(rng.choices("ACGT", k=5000)) if i else "A" * 3000]]
+    df = spark.createDataFrame(rows, "id long, q string, s string").localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    assert {r.id for r in ca.local_seeds(df).groupBy("id").count().collect()} == set(range(1, 20))
+    assert written() - before < 20_000
