@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catena.llm.common import lean_worker
+from catena.llm.common import Scratch, lean_worker
 
 #: Bytes of an n-gram.
 N = 4
@@ -91,17 +92,25 @@ class Model:
             seen.setdefault(language, Counts()).add(text)
         for own in seen.values():
             own.merge()
-        languages = sorted(seen, key=lambda k: (-seen[k].texts, k))
+        filters = {}
+        for language, own in seen.items():
+            order = np.argsort(-own.counts, kind="stable")
+            need = np.searchsorted(np.cumsum(own.counts[order]), COVER * own.counts.sum()) + 1
+            filters[language] = np.zeros(1 << BITS, bool)
+            for m in MULTIPLIERS:
+                filters[language][(own.grams[order[:need]] * np.uint32(m)) >> np.uint32(32 - BITS)] = True
+        return cls.of({k: own.texts for k, own in seen.items()}, filters)
+
+    @classmethod
+    def of(cls, texts: dict[str, int], filters: dict[str, np.ndarray]) -> Model:
+        """Of the number of texts and the filter, a boolean for each position, of each language."""
+        languages = sorted(texts, key=lambda k: (-texts[k], k))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
         masks = np.zeros((max(1, -(-len(languages) // 64)), 1 << BITS), kind)
         fill = np.zeros(len(languages))
         for k, language in enumerate(languages):
-            grams, counts = seen[language].grams, seen[language].counts
-            order = np.argsort(-counts, kind="stable")
-            need = np.searchsorted(np.cumsum(counts[order]), COVER * counts.sum()) + 1
             bit = kind(1 << k % 64)
-            for m in MULTIPLIERS:
-                masks[k // 64, (grams[order[:need]] * np.uint32(m)) >> np.uint32(32 - BITS)] |= bit
+            masks[k // 64, filters[language]] |= bit
             fill[k] = np.count_nonzero(masks[k // 64] & bit) / (1 << BITS)
         return cls(languages, masks, fill ** len(MULTIPLIERS))
 
@@ -154,12 +163,72 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCS) -> Model:
-    """Train on about sample documents of each label, drawn by a hash of the id from the rows where learn holds."""
+#: Distinct n-grams of one language that a task holds before it passes their counts on.
+HELD_GRAMS = 1 << 20
+
+
+def _fit_whole(rows: DataFrame, texts: dict[str, int]) -> Model:
+    """Model.train of all rows (l, t), counted where they are; what the driver gets follows the languages."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counts] = {}
+
+        def given(language: str) -> pa.RecordBatch:
+            own = seen.pop(language)
+            own.merge()
+            return pa.RecordBatch.from_arrays([pa.array([language] * len(own.grams), pa.string()), pa.array(own.grams.astype(np.int64)), pa.array(own.counts)], ["l", "gram", "n"])
+
+        for batch in batches:
+            for language, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = seen.setdefault(language, Counts())
+                own.add(text)
+                if len(own.grams) > HELD_GRAMS:
+                    yield given(language)
+        for language in list(seen):
+            yield given(language)
+
+    with Scratch(rows.sparkSession) as own:
+        grams = own.saved(rows.select("l", "t").mapInArrow(counted, "l string, gram long, n long").groupBy("l", "gram").agg(F.sum("n").alias("n")))
+        # The most frequent n-grams up to COVER; of equally frequent ones the smaller first. Sums run over distinct counts, not over n-grams.
+        by = grams.groupBy("l", "n").agg(F.count(F.lit(1)).alias("k"))
+        upto = by.withColumn("sum", F.sum(F.col("n") * F.col("k")).over(Window.partitionBy("l").orderBy(F.desc("n")))).withColumn("all", F.sum(F.col("n") * F.col("k")).over(Window.partitionBy("l")))
+        last = upto.where(F.col("sum") >= COVER * F.col("all")).groupBy("l").agg(F.max_by(F.struct("n", "k", "sum", "all"), "n").alias("x")).select("l", "x.*").collect()
+        need = {r["l"]: -int(-(COVER * r["all"] - (r["sum"] - r["n"] * r["k"])) // r["n"]) for r in last}
+        least = rows.sparkSession.createDataFrame([(r["l"], r["n"]) for r in last], "l string, least long")
+        tied = grams.join(F.broadcast(least), "l").where("n = least")
+        top = F.shiftright("gram", 16)
+        upper: dict[str, int] = {}
+        for r in sorted(tied.groupBy("l", top.alias("top")).count().collect(), key=lambda r: (r["l"], r["top"])):
+            if r["l"] not in upper:
+                if need[r["l"]] <= r["count"]:
+                    upper[r["l"]] = r["top"]
+                else:
+                    need[r["l"]] -= r["count"]
+        tops = rows.sparkSession.createDataFrame(list(upper.items()), "l string, top long")
+        lower: dict[str, list[int]] = {}
+        for r in tied.join(F.broadcast(tops), "l").where(top == F.col("top")).select("l", "gram").collect():  # 65,536 of a language at most
+            lower.setdefault(r["l"], []).append(r["gram"])
+        ends = rows.sparkSession.createDataFrame([(r["l"], r["n"], sorted(lower[r["l"]])[max(1, need[r["l"]]) - 1]) for r in last], "l string, least long, upto long")
+        chosen = grams.join(F.broadcast(ends), "l").where("n > least or n = least and gram <= upto")
+        low, high = F.col("gram").bitwiseAND(0xFFFF), F.shiftright("gram", 16)
+        # The low 32 bits of a product, without a larger one than a long holds.
+        product = lambda m: (F.shiftleft((high * F.lit(m).cast("long")).bitwiseAND(0xFFFF), 16) + low * F.lit(m).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+        at = chosen.select("l", F.explode(F.array(*[F.shiftright(product(m), 32 - BITS) for m in MULTIPLIERS])).alias("at"))
+        bits = at.groupBy("l", F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bits"))
+        filters = {k: np.zeros(1 << BITS, bool) for k in texts}
+        for r in bits.collect():
+            filters[r["l"]][r["bucket"] << 15 : r["bucket"] + 1 << 15] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return Model.of(texts, filters)
+
+
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int | None = SAMPLE_DOCS) -> Model:
+    """Train on about sample documents of each label, drawn by a hash of the id from the rows where learn holds; on all of them if sample is None."""
     rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("l"))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return Model.train([])
+    if sample is None:
+        return _fit_whole(rows, counts)
     draw = F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(sample / n))])
     taken = dict.fromkeys(counts, 0)

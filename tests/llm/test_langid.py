@@ -48,3 +48,15 @@ def test_held_out_and_cases(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
     few = fit(df, train_rows(), sample=20)
     assert sorted(few.languages) == sorted(SYLLABLES)
+
+
+def test_all_rows_are_counted(spark, monkeypatch):
+    """Without a sample, the filters are those of one pass over all rows, ties in the cover too."""
+    monkeypatch.setattr("catena.llm.langid.HELD_GRAMS", 200)
+    rng = random.Random(5)
+    rows = [(k % 90, text(rng, lang, rng.choice([0, 6, 50])) + "Zq%x" % rng.getrandbits(90) * (k % 3), lang) for k in range(200) for lang in [rng.choice(list(SYLLABLES))]]
+    rows += [(1, None, "aa"), (1, "left out", None), (2, "", "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got, want = fit(df, F.lit(True), sample=None), Model.train((r[2], r[1]) for r in rows if r[1] is not None and r[2] is not None)
+    assert got.languages == want.languages and (got.masks == want.masks).all() and (got.fp == want.fp).all()
+    assert fit(df.limit(0), F.lit(True), sample=None).languages == []
