@@ -174,6 +174,15 @@ def free_worker_caches() -> None:
     trim_worker()
 
 
+def lean_driver(spark: SparkSession) -> None:
+    """Let the driver give back what queries that have ended leave: compiled code, shuffles and broadcasts without a reader, heap.
+
+    Its collector does that only when the heap is full, and an operator of many queries would fill it with them.
+    """
+    trim_worker()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def lean_worker() -> Iterator[None]:
     """Around the work of a task whose worker process is kept: it starts and ends without memory of other work."""

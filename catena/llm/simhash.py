@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catena.llm.common import KeyBitmap, Scratch, lean_worker, saved, skew_join
+from catena.llm.common import KeyBitmap, Scratch, lean_driver, lean_worker, saved, skew_join
 from catena.llm.components import connected_components
 
 SEED = 42
@@ -171,6 +171,8 @@ NEAR_FIRST = 8
 SAMPLE, FREQUENT, MOST_FREQUENT = 10_000, 3, 50_000
 #: Members of a bucket that meet as many others in one task, about.
 TILE = 2048
+#: Links whose components one task finds, 4 MiB of them at most; of more, rounds over all tasks do.
+LINKS_AT_ONCE = 1 << 18
 
 
 def wide_fingerprint(hashes: np.ndarray, words: int = WIDE) -> np.ndarray:
@@ -372,11 +374,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = near(hot.withColumn("diff", F.col("fa").bitwiseXOR(F.col("fb"))))
         # Those nearest by their fingerprints first, as what they connect need not be compared again.
         for bits, least in ((NEAR_FIRST, 0), (NEAR_BITS, NEAR_LEAST)):
+            lean_driver(spark)
             with Scratch(spark) as part:
-                joined = connected_components(links, keep=part.saved)
+                joined = connected_components(links, keep=part.saved, at_once=LINKS_AT_ONCE)
                 rest = unconnected_pairs(members.drop("n"), joined, keep=part.saved, fps=marks.select("doc_id", "fp"), bits=bits, least=least)
                 links = own.saved(links.unionByName(near(rest)))
-        return connected_components(links)
+        lean_driver(spark)
+        return connected_components(links, at_once=LINKS_AT_ONCE)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -220,3 +220,34 @@ def test_wide_fingerprints(spark):
     got = spark.createDataFrame(rows, "far boolean, a array<long>, b array<long>").select("far", wide_apart(F.col("a"), F.col("b")).alias("d")).collect()
     assert sorted(r.d for r in got) == sorted(want)
     assert all((r.d > WIDE_BITS) == r.far for r in got)
+
+
+def test_components_of_few_links_in_one_task(spark):
+    rng = random.Random(41)
+    links = [(k, k + 1) for k in range(1, 60)] + [(1000, k) for k in range(900, 960)] + [(2000 + rng.randrange(80), 2000 + rng.randrange(80)) for _ in range(50)]
+    links += [(3, 3), (7, None), (2, 1), (-5, -9), (1 << 62, -(1 << 62))]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    want = {(r.node, r.component) for r in connected_components(df).collect()}
+    for at_once in (1, 20, 10_000):
+        got = connected_components(df, at_once=at_once).collect()
+        assert len(got) == len(want) and {(r.node, r.component) for r in got} == want
+    assert connected_components(df.limit(0), at_once=10_000).count() == 0
+
+
+def test_near_duplicates_of_few_links_take_few_stages(spark):
+    from catena.llm.simhash import near_duplicates
+
+    chain = [f"c{k}" for k in range(200)]
+    rows = []
+    for k in range(24):  # each near the next one only
+        chain = [f"n{k}x{at}" if at in (8 * k, 8 * k + 4) else w for at, w in enumerate(chain)]
+        rows.append((k, " ".join(chain)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "")
+    try:
+        got = near_duplicates(df)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.node, r.component) for r in got.collect()} == {(k, 0) for k in range(24)}
+    assert len(sc.statusTracker().getJobIdsForGroup("near")) < 120
