@@ -285,21 +285,27 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return top["hash"].to_numpy(np.uint64), top["count"].to_numpy(np.int64)
 
 
-def hot_pairs(hot: DataFrame, fps: DataFrame) -> DataFrame:
-    """(a, b): each member of hot (bucket, doc_id, n) with some centres of its largest bucket.
+def hot_pairs(hot: DataFrame, marks: DataFrame) -> DataFrame:
+    """(a, b, na, nb, diff), a < b, as of unconnected_pairs: each member of hot (bucket, doc_id, n) with some centres of its largest bucket.
+
+    marks (doc_id, fp, size) has each document once. What a centre has of it comes with it, so that pairs need not be joined with marks again.
 
     One is the member nearest to the majority of the bucket's fingerprints, the
     original of copies that resemble it more than one another; three are any.
     """
-    largest = hot.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("most")).select("doc_id", "most.bucket").join(fps, "doc_id")
+    largest = hot.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("most")).select("doc_id", "most.bucket").join(marks, "doc_id")
     ones = [F.sum(F.shiftright("fp", k).bitwiseAND(1) * 2 - 1).alias(f"s{k}") for k in range(BITS)]
     majority = largest.groupBy("bucket").agg(*ones)
     majority = majority.select("bucket", reduce(Column.bitwiseOR, [F.shiftleft((F.col(f"s{k}") > 0).cast("long"), k) for k in range(BITS)]).alias("mid"))
     away = F.bit_count(F.col("fp").bitwiseXOR(F.col("mid")))
-    centres = skew_join(largest, majority, "bucket").groupBy("bucket").agg(F.min(F.struct(away, "doc_id")).alias("c0"), *[F.min(F.struct(F.xxhash64("doc_id", F.lit(k)), "doc_id")).alias(f"c{k}") for k in (1, 2, 3)])
-    centres = centres.select("bucket", F.array_distinct(F.array(*[f"c{k}.doc_id" for k in range(4)])).alias("centres"))
-    many = skew_join(largest, centres, "bucket").select("doc_id", F.explode("centres").alias("c"))
-    return many.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+    member = F.struct("doc_id", "fp", "size")
+    firsts = [away, *[F.xxhash64("doc_id", F.lit(k)) for k in (1, 2, 3)]]
+    centres = skew_join(largest, majority, "bucket").groupBy("bucket").agg(*[F.min(F.struct(x.alias("first"), member.alias("of"))).alias(f"c{k}") for k, x in enumerate(firsts)])
+    centres = centres.select("bucket", F.array_distinct(F.array(*[f"c{k}.of" for k in range(4)])).alias("centres"))
+    many = skew_join(largest, centres, "bucket").select("doc_id", "fp", "size", F.explode("centres").alias("c")).where("doc_id <> c.doc_id")
+    low = F.col("doc_id") < F.col("c.doc_id")
+    na, nb = F.when(low, F.col("size")).otherwise(F.col("c.size")), F.when(low, F.col("c.size")).otherwise(F.col("size"))
+    return many.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"), na.alias("na"), nb.alias("nb"), F.col("fp").bitwiseXOR(F.col("c.fp")).alias("diff"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,10 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found = skew_join(found, of(sets, "shingles", "b", "xb"), "b")
                 return own.saved(found.where(alike(F.col("xa"), F.col("xb"))).select("a", "b"))
 
-        sized = lambda end: marks.select(F.col("doc_id").alias(end), F.col("size").alias(f"n{end}"), F.col("fp").alias(f"f{end}"))
-        hot = hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp"))
-        hot = skew_join(skew_join(hot, sized("a"), "a"), sized("b"), "b")
-        links = near(hot.withColumn("diff", F.col("fa").bitwiseXOR(F.col("fb"))))
+        links = near(hot_pairs(members.where(F.col("n") > SMALL_BUCKET), marks.select("doc_id", "fp", "size")))
         # Those nearest by their fingerprints first, as what they connect need not be compared again.
         for bits, least in ((NEAR_FIRST, 0), (NEAR_BITS, NEAR_LEAST)):
             lean_driver(spark)

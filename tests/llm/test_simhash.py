@@ -251,3 +251,16 @@ def test_near_duplicates_of_few_links_take_few_stages(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert {(r.node, r.component) for r in got.collect()} == {(k, 0) for k in range(24)}
     assert len(sc.statusTracker().getJobIdsForGroup("near")) < 120
+
+
+def test_pairs_with_centres_carry_sizes_and_fingerprints(spark):
+    from catena.llm.simhash import hot_pairs
+
+    rng = random.Random(43)
+    marks = {k: (rng.getrandbits(63), rng.randrange(5, 90)) for k in range(100)}
+    hot = spark.createDataFrame([(1 + (k > 59), k, 60 if k < 60 else 40) for k in marks], "bucket long, doc_id long, n long")
+    got = hot_pairs(hot, spark.createDataFrame([(k, *x) for k, x in marks.items()], "doc_id long, fp long, size int")).collect()
+    assert {x for r in got for x in (r.a, r.b)} == set(marks) and len(got) >= 4 * 96
+    for r in got:
+        assert r.a < r.b and (r.a < 60) == (r.b < 60)
+        assert (r.na, r.nb, r.diff) == (marks[r.a][1], marks[r.b][1], marks[r.a][0] ^ marks[r.b][0])
